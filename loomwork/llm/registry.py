@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from loomwork.llm.line_runs import OP8_SQL, op8_line_runs
+from loomwork.llm.packing import op9_packing
+from loomwork.llm.passages import OP1_SQL, op1_passages
 
 QUERIES = {
+    "op1_passages": op1_passages,
     "op8_line_runs": op8_line_runs,
+    "op9_packing": op9_packing,
 }
 SQL = {
+    "op1_passages": OP1_SQL,
     "op8_line_runs": OP8_SQL,
 }
