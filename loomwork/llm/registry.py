@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomwork.llm.line_runs import OP8_SQL, op8_line_runs
+from loomwork.llm.near_dups import op10_near_dups
 from loomwork.llm.packing import op9_packing
 from loomwork.llm.passages import OP1_SQL, op1_passages
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_passages": op1_passages,
     "op8_line_runs": op8_line_runs,
     "op9_packing": op9_packing,
+    "op10_near_dups": op10_near_dups,
 }
 SQL = {
     "op1_passages": OP1_SQL,
