@@ -19,11 +19,12 @@ from loomwork.llm.common import held_out, table
 #: The bounded sample: so many texts for each language, those with the least hash of the id, and so many characters of each.
 TEXTS, CHARS = 160, 1200
 #: Bytes of a dictionary, of a block, and zstandard's level.
-DICTIONARY, BLOCK, LEVEL = 112_000, 2048, 3
-#: Bytes saved for each byte of text below which a prediction is rejected.
-MARGIN = 0.01
+DICTIONARY, BLOCK, LEVEL = 112_000, 512, 3
+#: Bytes saved for each byte of text: below DOUBT the thorough coder decides, below MARGIN a prediction is rejected.
+DOUBT, MARGIN = 0.03, 0.01
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+_PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
 def sample_texts(labelled: DataFrame, texts: int = TEXTS, chars: int = CHARS) -> dict[str, bytes]:
@@ -36,41 +37,55 @@ def sample_texts(labelled: DataFrame, texts: int = TEXTS, chars: int = CHARS) ->
     for r in rows.collect():  # texts x chars for each language at most
         if r["text"] and _LETTER.search(r["text"]):
             found.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    return {lang: "\n".join(t for _, t in sorted(v)).encode()[-DICTIONARY:] for lang, v in sorted(found.items())}
+    return {lang: b"".join(plain(t) for _, t in sorted(v))[-DICTIONARY:] for lang, v in sorted(found.items())}
 
 
 class Classifier:
-    def __init__(self, content: dict[str, bytes], level: int = LEVEL):
-        import zstandard
+    """A fast coder for each language judges every text; where its margin is narrow a thorough one decides."""
+
+    def __init__(self, content: dict[str, bytes]):
+        import zstandard as z
 
         self.langs = sorted(content)
-        self.coders = []
+        thorough = z.ZstdCompressionParameters(window_log=17, chain_log=17, hash_log=17, search_log=3, min_match=3, target_length=8, strategy=z.STRATEGY_BTLAZY2, write_content_size=False)
+        self.quick, self.slow, self.content = [], [], [content[g] for g in self.langs]
         for lang in self.langs:
-            d = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            self.coders.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+            d = z.ZstdCompressionDict(content[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
+            self.quick.append(z.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+            d = z.ZstdCompressionDict(content[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=thorough)
+            self.slow.append(z.ZstdCompressor(dict_data=d, compression_params=thorough))
+
+    def _sizes(self, coders: list, raw: bytes) -> tuple[list[int], list[int], float]:
+        blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
+        sizes = [sum([len(c.compress(b)) for b in blocks]) for c in coders]
+        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
+        return sizes, order, (sizes[order[1]] - sizes[order[0]]) / len(raw) if len(order) > 1 else 1.0
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, sure). A text that is null or has no letter: (und, 0, False)."""
         if not text or not self.langs or not _LETTER.search(text):
             return UNKNOWN, 0.0, False
-        raw = text.encode()
-        blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-        sizes = [float(sum([len(c.compress(b)) for b in blocks])) for c in self.coders]
-        if len(raw) < BLOCK:  # a byte is too coarse for a short text: its words one by one, in lower case, add to the sum
-            words = {w for w in re.findall(r"[^\W\d_]+", text.lower())}
-            for i, c in enumerate(self.coders):
-                sizes[i] += sum(len(c.compress(f" {w} ".encode())) for w in words) / 2
-        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
-        least = sizes[order[0]]
-        score = 1 / sum(math.exp(max(-60.0, (least - s) * 0.7)) for s in sizes)
-        margin = (sizes[order[1]] - least) / len(raw) if len(order) > 1 else 1.0
+        raw = plain(text)
+        sizes, order, margin = self._sizes(self.quick, raw)
+        if margin < DOUBT:
+            sizes, order, margin = self._sizes(self.slow, raw)
+        if margin == 0 and len(order) > 1:  # a tie: the dictionary with more of the text's words, then the first name
+            words, least = set(raw.split()), sizes[order[0]]
+            order = sorted((i for i in order if sizes[i] == least), key=lambda i: (-sum(b" %s " % w in self.content[i] for w in words), i))
+        score = 1 / sum(math.exp(max(-60.0, (sizes[order[0]] - s) * 0.7)) for s in sizes)
         return self.langs[order[0]], score, margin >= MARGIN
 
 
+def plain(text: str) -> bytes:
+    """What is compressed: the whole text in lower case, ASCII characters other than letters as single spaces."""
+    return b" ".join([b"", *text.lower().encode().translate(_PLAIN).split(), b""])
+
+
 def identify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, sure) for each row of docs. lang_pred is und, with score 0, where the text is null or has
-    no letter. Ties go to the language that sorts first. Only the text is read; other columns are left out."""
+    no letter. Ties go to the dictionary that holds more of the text's words, then to the language that sorts first. Only the text is read; other columns are left out."""
 
     def run(batches):
         classify = Classifier(content)
