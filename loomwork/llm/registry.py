@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomwork.llm.chat import OP3_SQL, op3_chat
+from loomwork.llm.decontam import op6_decontam
 from loomwork.llm.fingerprints import op7_fingerprints
 from loomwork.llm.language import op2_language
 from loomwork.llm.line_runs import OP8_SQL, op8_line_runs
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_chat": op3_chat,
     "op4_toxicity": op4_toxicity,
+    "op6_decontam": op6_decontam,
     "op7_fingerprints": op7_fingerprints,
     "op8_line_runs": op8_line_runs,
     "op9_packing": op9_packing,
