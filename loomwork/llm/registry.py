@@ -9,6 +9,7 @@ from loomwork.llm.language import op2_language
 from loomwork.llm.line_runs import OP8_SQL, op8_line_runs
 from loomwork.llm.near_dups import op10_near_dups
 from loomwork.llm.packing import op9_packing
+from loomwork.llm.pages import op5_pages
 from loomwork.llm.passages import OP1_SQL, op1_passages
 from loomwork.llm.toxicity import op4_toxicity
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_chat": op3_chat,
     "op4_toxicity": op4_toxicity,
+    "op5_pages": op5_pages,
     "op6_decontam": op6_decontam,
     "op7_fingerprints": op7_fingerprints,
     "op8_line_runs": op8_line_runs,
