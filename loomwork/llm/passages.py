@@ -1,5 +1,7 @@
 """Substring dedup with repeated-phrase automata.
 
+0. Rows of equal text are dealt to one chunk of documents, where all but the first lose every window at once; a text with
+   very many copies is salted over several chunks.
 1. Each document's 13-word windows are grouped by their anchor, the least hash of the 6-word phrases in the
    window. Equal windows have equal anchors, and only about two words in nine start a new one.
 2. Anchors that two documents share are the recurring ones; every chunk of documents hears which of its own are.
@@ -26,6 +28,8 @@ WINDOW, PHRASE = 13, 6
 CHUNK_MB = 4
 #: An anchor in more chunks than this is dealt by whole windows.
 HOT_CHUNKS = 32
+#: Copies of one text that go to one chunk; beyond COPIES x MANY_COPIES rows, rows / MANY_COPIES of them.
+COPIES, MANY_COPIES = 1000, 1_000_000
 #: Words that one automaton is built over at a time; a larger shard is cut between anchors.
 AUTOMATON_WORDS = 300_000
 
@@ -44,6 +48,7 @@ class _Chunk:
         ids = docs.column("doc_id")
         self.known = ~ids.is_null().to_numpy() if hasattr(ids, "is_null") else np.ones(len(ids), bool)
         self.ids = ids.fill_null(0).to_numpy()
+        self.copy = self._copies(ends)
         n = len(self.starts)
         doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
         if n < window:
@@ -58,11 +63,21 @@ class _Chunk:
             step = min(have, span - have)
             least = np.minimum(least[:-step], least[step:])
             have += step
-        inside = (doc[: n - window + 1] == doc[window - 1 :]) & self.known[doc[: n - window + 1]]
+        inside = (doc[: n - window + 1] == doc[window - 1 :]) & (self.known & ~self.copy)[doc[: n - window + 1]]
         self.at = np.flatnonzero(inside)
         self.key, self.doc = least[self.at], doc[self.at]
         self.whole = gram_hashes(h, window)[self.at]
 
+    def _copies(self, ends: np.ndarray) -> np.ndarray:
+        """The rows whose whole text a smaller doc_id of the chunk has: every window of theirs starts there too."""
+        raw = self.raw.tobytes()
+        texts = [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        least: dict[bytes, int] = {}
+        for t, i, known in zip(texts, self.ids.tolist(), self.known.tolist(), strict=True):
+            if known:
+                least[t] = min(i, least.get(t, i))
+        return np.array([k and least[t] < i for t, i, k in zip(texts, self.ids.tolist(), self.known.tolist(), strict=True)], bool)
+
     def segments(self, recurring: np.ndarray, hot: np.ndarray, window: int):
         """Stretches of windows whose anchor recurs: (key, first window, count of windows, document) each, and the
         sorted distinct (key, text) with each stretch's place among them."""
@@ -251,8 +266,8 @@ def _apply(window: int, phrase: int):
                     hit = np.frombuffer(f[0], np.int32)[np.frombuffer(f[1], np.int64) < d] + i
                     gone[hit] += 1  # a stretch's offsets are distinct
                     gone[hit + window] -= 1
-        lost = np.cumsum(gone[:-1]) > 0
         raw, n = c.raw.tobytes(), np.diff(c.first)
+        lost = (np.cumsum(gone[:-1]) > 0) | np.repeat(c.copy & (n >= window), n)
         ends = np.append(0, np.cumsum(lost))[c.first]
         kept = []
         for i, j, x in zip(c.first[:-1].tolist(), c.first[1:].tolist(), np.diff(ends).tolist(), strict=True):
@@ -268,6 +283,16 @@ def _apply(window: int, phrase: int):
     return run
 
 
+def _dealt(rows: DataFrame, chunks: int) -> DataFrame:
+    """rows with their chunk: that of their text, and for a text with more than `most` copies one of several. Fewer than
+    MANY_COPIES texts can have so many, whatever the input, so their list is broadcast."""
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    most = max(COPIES, rows.count() // MANY_COPIES)
+    many = rows.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("h", F.ceil(F.col("n") / most).alias("salts"))
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("salts"))).otherwise(0)
+    return rows.join(F.broadcast(many), "h", "left").select("doc_id", "text", F.pmod(F.xxhash64("h", salt), F.lit(chunks)).cast("int").alias("chunk"))
+
+
 def drop_repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept has the words, joined by one space, that no window covers whose
     words also start in a document of a smaller doc_id. Windows are judged on the input.
@@ -278,7 +303,7 @@ def drop_repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int =
     """
     chunks = parts_for(docs, CHUNK_MB)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    rows = _dealt(rows, chunks)
     asked = rows.groupBy("chunk").applyInArrow(_ask(max(8, chunks // 4), window, phrase), ASK)
     told = asked.groupBy("bucket").applyInArrow(_tell, TELL)
     pieces = rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_cut(chunks, window, phrase), SEGMENT)
