@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = Window.partitionBy("topic", "year")
-
 
 def normalized_citations(df: DataFrame) -> DataFrame:
     """nc = (citation + 1) / (bucket mean + 1), with the bucket's mean, median and size."""

@@ -106,7 +106,7 @@ def log_decomposition(panel: DataFrame, eps: float = 1e-6, limit: float = 5.0) -
     (split at 0)."""
     unit = Window.partitionBy("country", "topic").orderBy("year")
     p = panel.withColumns({"ls": F.ln(F.greatest("share", F.lit(eps))), "lf": F.ln(F.greatest("frontier_value", F.lit(eps)))})
-    p = p.withColumns({"ds": clip(F.col("ls") - F.lag("ls").over(unit), -limit, limit), "df": clip(F.col("lf") - F.lag("lf").over(unit), -limit, limit)}).filter("ds is not null")
+    p = p.withColumns({"ds": clip(F.col("ls") - F.lag("ls").over(unit), -limit, limit), "df": clip(F.col("lf") - F.lag("lf").over(unit), -limit, limit), "before": F.lag("ls").over(unit)}).filter("before is not null")
     w, at = rolling(["country", "topic"], "year", 3), F.row_number().over(unit)
     p = p.select("country", "topic", *[F.when(at >= 2, F.avg(c).over(w)).alias(c) for c in ("ds", "df")])
     out = p.groupBy("country", "topic").agg(F.avg("ds").alias("dlog_share"), F.avg("df").alias("dlog_frontier"))

@@ -411,8 +411,8 @@ def pr_curve(spark, d):
 @query(f"""{NB}, {TRUTH}, dt AS (SELECT CASE WHEN a.year > b.year THEN i ELSE j END AS src, CASE WHEN a.year > b.year THEN j ELSE i END AS dst FROM truth JOIN emb a ON a.id = i JOIN emb b ON b.id = j WHERE a.year <> b.year),
 c AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS r FROM nb JOIN emb a ON a.id = src JOIN emb b ON b.id = dst WHERE a.year >= b.year),
 h AS (SELECT c.*, dt.src IS NOT NULL AS hit FROM c LEFT JOIN dt USING (src, dst)), nt AS (SELECT src, count(*) AS n_true FROM dt GROUP BY src), ks AS (SELECT unnest([1, 3, 5]) AS K)
-SELECT emb.id AS src, CAST(K AS BIGINT) AS K, count(*) FILTER (hit AND r <= K) AS hit_count, n_true, round(count(*) FILTER (hit AND r <= K) / n_true, 6) AS recall
-FROM emb CROSS JOIN ks LEFT JOIN nt ON nt.src = emb.id LEFT JOIN h ON h.src = emb.id GROUP BY ALL""")
+SELECT emb.id AS src, CAST(K AS BIGINT) AS K, count(*) FILTER (hit AND r <= K) AS hit_count, max(n_true) AS n_true, round(count(*) FILTER (hit AND r <= K) / max(n_true), 6) AS recall
+FROM emb CROSS JOIN ks LEFT JOIN nt ON nt.src = emb.id LEFT JOIN h ON h.src = emb.id GROUP BY emb.id, K""")
 def node_recall_at_k(spark, d):
     v = vectors(spark, d)
     return edges.node_recall_at_k(knn.neighbors(v, K).drop("rank"), _directed_truth(spark, d), v, [1, 3, 5])
