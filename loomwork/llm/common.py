@@ -47,9 +47,13 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def parts_for(df: DataFrame, mb: float) -> int:
-    """So many parts that each has about mb megabytes of df's files; it follows the input without bound."""
-    return max(8, int(-(-plan_bytes(df) // int(mb * 1e6))))
+def parts_for(df: DataFrame, mb: float, text_col: str) -> int:
+    """So many parts that each has about mb megabytes of df's files; it follows the input without bound. Where the optimizer
+    knows no size (rows from the driver, its default is the largest number), half the texts' characters count."""
+    size = plan_bytes(df)
+    if size >= 1 << 60:
+        size = (df.agg(F.sum(F.length(text_col))).first()[0] or 0) // 2
+    return max(8, int(-(-size // int(mb * 1e6))))
 
 
 def held_out(doc_id="doc_id"):

@@ -99,7 +99,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     of the next one's first document (last = 1), the last bucket with the first document of all. No global sort, and
     the text is shuffled once. Rows of a null doc_id come first; ties are ordered by text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = parts_for(docs, BUCKET_MB)
+    parts = parts_for(docs, BUCKET_MB, text_col)
     shares = [i / parts for i in range(1, parts)]
     found = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), F.lit(4 * parts)).alias("cuts"), F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     low = found["low"]

@@ -301,7 +301,7 @@ def drop_repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int =
     doc_id stay whole and make no other row lose anything. Rows with one doc_id count as one document, so
     they take nothing from each other. Other columns of docs are left out.
     """
-    chunks = parts_for(docs, CHUNK_MB)
+    chunks = parts_for(docs, CHUNK_MB, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = _dealt(rows, chunks)
     asked = rows.groupBy("chunk").applyInArrow(_ask(max(8, chunks // 4), window, phrase), ASK)
