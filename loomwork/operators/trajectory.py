@@ -13,12 +13,32 @@ from pyspark.sql import functions as F
 from loomwork.functions.columns import dot
 
 
-def silhouette_db(vectors: DataFrame, label: str = "label") -> DataFrame:
-    """Exact mean silhouette and Davies-Bouldin index, Euclidean. The silhouette needs the mean distance of each row to each cluster:
-    a pairwise measure, meant for samples."""
+def _distance_sums(key, rows: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+    """For each row the sum of its distances to the rows of base, by their label."""
+    if not len(rows) or not len(base):
+        return pd.DataFrame({"id": [], "l": [], "l2": [], "s": [], "n": []})
+    x, y = np.stack(rows["embedding"]).astype(np.float64), np.stack(base["embedding"]).astype(np.float64)
+    labels, code = np.unique(base["l"].to_numpy(), return_inverse=True)
+    one = np.zeros((len(y), len(labels)))
+    one[np.arange(len(y)), code] = 1
+    sums = []
+    for at in range(0, len(x), 256):
+        p = x[at : at + 256]
+        d = np.sqrt(np.maximum((p * p).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * p @ y.T, 0))
+        d[rows["id"].to_numpy()[at : at + 256, None] == base["id"].to_numpy()[None]] = 0
+        sums.append(d @ one)
+    k = len(labels)
+    return pd.DataFrame({"id": np.repeat(rows["id"].to_numpy(), k), "l": np.repeat(rows["l"].to_numpy(), k), "l2": np.tile(labels, len(x)), "s": np.concatenate(sums).ravel(), "n": np.tile(one.sum(axis=0), len(x))})
+
+
+def silhouette_db(vectors: DataFrame, label: str = "label", block: int = 4096) -> DataFrame:
+    """Exact mean silhouette and Davies-Bouldin index, Euclidean. The silhouette needs every row's mean distance to every cluster:
+    each pair of blocks of rows is one task's work and returns sums by cluster, never the pairs."""
     sq = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x)
-    a, b = vectors.select("id", F.col(label).alias("l"), F.col("embedding").alias("x")), vectors.select(F.col("id").alias("id2"), F.col(label).alias("l2"), F.col("embedding").alias("y"))
-    means = a.crossJoin(b).withColumn("d", F.sqrt(sq("x", "y"))).groupBy("id", "l", "l2").agg(F.sum("d").alias("s"), F.count("*").alias("n"))
+    blocks = max(1, -(-vectors.count() // block))
+    v = vectors.select("id", F.col(label).cast("long").alias("l"), "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("o"))
+    rows, base = v.withColumnsRenamed({"own": "p", "o": "q"}), v.withColumnsRenamed({"own": "q", "o": "p"})
+    means = rows.groupBy("p", "q").cogroup(base.groupBy("p", "q")).applyInPandas(_distance_sums, "id long, l long, l2 long, s double, n double").groupBy("id", "l", "l2").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = means.filter("l = l2").select("id", F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)).alias("a"))
     other = means.filter("l <> l2").groupBy("id").agg(F.min(F.col("s") / F.col("n")).alias("b"))
     sil = own.join(other, "id").agg(F.avg(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("silhouette"))

@@ -1,0 +1,80 @@
+"""Small literal fixtures for the operators' edge cases."""
+
+import math
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from loomwork.operators import divergence, edges, graph, knn, panel, trajectory, trend
+from loomwork.sources.papers import clean_papers, country_exact, first_filled
+
+
+def test_clean_papers(spark):
+    raw = spark.createDataFrame([("A long enough title", None, "1999", "China"), (None, None, "1", "US"), ("short", "x", "bad", None)], "TI string, AB string, PY string, country string")
+    got = clean_papers(raw).collect()
+    assert [(r["text"], r["year"], r["country_code"]) for r in got] == [("A long enough title. ", 1999, "CN")]
+    assert first_filled(raw, ["nope", "AB", "TI"]) == "TI"
+    assert spark.range(1).select(country_exact(F.lit(None).cast("string"))).first()[0] == "Other"
+
+
+def test_rolling_share_grids(spark):
+    df = spark.createDataFrame([("a", y, "CN") for y in (1, 2, 4, 5)] + [("b", y, "US") for y in (1, 5)], "topic string, year int, c2 string")
+    assert panel.rolling_topic_share(df, 5, 3).select("year").distinct().count() == 2
+    assert panel.rolling_topic_share(df, 5, 3, contiguous=True).select("year").distinct().count() == 3
+    assert {r["share_CN"] for r in panel.rolling_topic_share(df).filter("topic = 'a'").collect()} == {1.0}
+
+
+def test_js(spark):
+    js = lambda rows: divergence.js_distance(spark.createDataFrame(rows, "a long, b long"), "a", "b").first()["js_distance"]
+    assert js([(1, 1), (3, 3)]) == 0
+    assert math.isclose(js([(1, 0), (0, 1)]), math.sqrt(math.log(2)))
+    assert js([(1, 0), (2, 0)]) is None
+
+
+def test_entry_year(spark):
+    def entered(values):
+        df = spark.createDataFrame([("t", "CN", i, float(v)) for i, v in enumerate(values)], "topic string, c2 string, year int, share double")
+        return trend.entry_year(df).first()
+
+    assert entered([0, 0, 0, 0, 1, 1, 1])["enter_year"] == 4
+    assert entered([1, 1, 1, 1, 1, 1])["flag"] == "not_entered"
+    assert entered([0, 0, 0, 5, 0, 0, 0])["enter_year"] is None
+    assert entered([0, 1, 2, 3])["flag"] == "insufficient"
+
+
+def test_cross_corr_lag(spark):
+    wave = [0.0, 1, 3, 2, 5, 4, 7, 1, 0, 2, 6, 3]
+    df = spark.createDataFrame([("t", i, wave[i - 2] if i > 1 else 0.5, wave[i]) for i in range(12)], "topic string, year int, share_CN double, share_US double")
+    assert trend.cross_corr_lag(df).first()["lag_ccf"] == 2
+
+
+def test_knn(spark):
+    pts = [[1.0, 0], [0.99, 0.1], [0.98, 0.2], [-1, 0.0]]
+    v = spark.createDataFrame([(i, p, 2000 + i // 2) for i, p in enumerate(pts)], "id long, embedding array<float>, year int")
+    assert {(r["i"], r["j"]) for r in knn.knn_edges(v, 2, mutual=True).collect()} == {(0, 1), (0, 2), (1, 2)}
+    past = {(r["src"], r["dst"]) for r in knn.neighbors(v.withColumn("batch", F.lit(0)), 5, past=True).collect()}
+    assert past == {(2, 0), (2, 1), (3, 0), (3, 1)}
+
+
+def test_graph(spark):
+    e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 1.0), (3, 4, 1.0), (6, 7, 1.0)], "i long, j long, sim double")
+    n = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 6, 7)], "id long")
+    assert {r["id"]: r["component"] for r in graph.components(e, n).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 6}
+    assert {r["id"]: r["coreness"] for r in graph.kcore(e, n).collect()} == {1: 2, 2: 2, 3: 2, 4: 1, 5: 0, 6: 1, 7: 1}
+    assert math.isclose(sum(r["pagerank"] for r in graph.pagerank(e, n).collect()), 1.0, abs_tol=1e-9)
+
+
+def test_citation_edges(spark):
+    refs = spark.createDataFrame(
+        [(1, "X, DOI 10.5555/B.; Y, doi [10.5555/c, DOI 10.5555/d]"), (2, "no reference"), (3, "Z, DOI 10.5555/C; Z, DOI 10.5555/C"), (9, "S, DOI 10.5555/S(1)3;2<1::A")], "src long, cr string"
+    )
+    dois = spark.createDataFrame([(2, "https://doi.org/10.5555/b"), (3, "10.5555/c"), (4, "10.5555/d"), (5, None)], "dst long, doi string")
+    assert {tuple(r) for r in edges.citation_edges(refs, dois).collect()} == {(1, 2), (1, 3)}
+
+
+def test_clusters(spark):
+    v = spark.createDataFrame([(i, [float(i // 5 * 10 + i % 5 * 0.1), 0.0], i // 5) for i in range(10)], "id long, embedding array<float>, label int")
+    assert trajectory.silhouette_db(v, block=4).first()["silhouette"] > 0.9
+    d = np.abs(np.subtract.outer([0.0, 0.1, 5, 5.2, 9], [0.0, 0.1, 5, 5.2, 9]))
+    assert trajectory.cut_tree(trajectory.linkage(d), 5, 3).tolist() == [0, 0, 1, 1, 2]
+    assert trajectory.dtw(np.array([0.0, 1, 2]), np.array([0.0, 0, 1, 2])) == 0
