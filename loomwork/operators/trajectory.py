@@ -36,7 +36,7 @@ def silhouette_db(vectors: DataFrame, label: str = "label", block: int = 4096) -
     each pair of blocks of rows is one task's work and returns sums by cluster, never the pairs."""
     sq = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x)
     blocks = max(1, -(-vectors.count() // block))
-    v = vectors.select("id", F.col(label).cast("long").alias("l"), "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("o"))
+    v = vectors.select("id", F.col(label).cast("long").alias("l"), "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("o"))
     rows, base = v.withColumnsRenamed({"own": "p", "o": "q"}), v.withColumnsRenamed({"own": "q", "o": "p"})
     means = rows.groupBy("p", "q").cogroup(base.groupBy("p", "q")).applyInPandas(_distance_sums, "id long, l long, l2 long, s double, n double").groupBy("id", "l", "l2").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = means.filter("l = l2").select("id", F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)).alias("a"))

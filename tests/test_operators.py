@@ -13,7 +13,7 @@ def test_clean_papers(spark):
     raw = spark.createDataFrame([("A long enough title", None, "1999", "China"), (None, None, "1", "US"), ("short", "x", "bad", None)], "TI string, AB string, PY string, country string")
     got = clean_papers(raw).collect()
     assert [(r["text"], r["year"], r["country_code"]) for r in got] == [("A long enough title. ", 1999, "CN")]
-    assert first_filled(raw, ["nope", "AB", "TI"]) == "TI"
+    assert first_filled(raw, ["nope", "AB", "TI"]) == "AB"
     assert spark.range(1).select(country_exact(F.lit(None).cast("string"))).first()[0] == "Other"
 
 
@@ -43,13 +43,13 @@ def test_entry_year(spark):
 
 
 def test_cross_corr_lag(spark):
-    wave = [0.0, 1, 3, 2, 5, 4, 7, 1, 0, 2, 6, 3]
+    wave = [0.0, 1.0, 3.0, 2.0, 5.0, 4.0, 7.0, 1.0, 0.0, 2.0, 6.0, 3.0]
     df = spark.createDataFrame([("t", i, wave[i - 2] if i > 1 else 0.5, wave[i]) for i in range(12)], "topic string, year int, share_CN double, share_US double")
     assert trend.cross_corr_lag(df).first()["lag_ccf"] == 2
 
 
 def test_knn(spark):
-    pts = [[1.0, 0], [0.99, 0.1], [0.98, 0.2], [-1, 0.0]]
+    pts = [[1.0, 0.0], [0.99, 0.1], [0.98, 0.2], [-1.0, 0.0]]
     v = spark.createDataFrame([(i, p, 2000 + i // 2) for i, p in enumerate(pts)], "id long, embedding array<float>, year int")
     assert {(r["i"], r["j"]) for r in knn.knn_edges(v, 2, mutual=True).collect()} == {(0, 1), (0, 2), (1, 2)}
     past = {(r["src"], r["dst"]) for r in knn.neighbors(v.withColumn("batch", F.lit(0)), 5, past=True).collect()}
