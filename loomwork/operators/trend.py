@@ -69,7 +69,7 @@ def cross_corr_lag(rolled: DataFrame, max_lag: int = 10, min_overlap: int = 4) -
     a = s.select("topic", F.col("i").alias("p"), F.col("share_CN").alias("x"), F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag"))
     b = s.select("topic", F.col("i").alias("q"), F.col("share_US").alias("y"))
     j = a.withColumn("q", F.col("p") - F.col("lag")).join(b, ["topic", "q"])
-    c = j.groupBy("topic", "lag").agg(F.corr("x", "y").alias("corr"), F.count("*").alias("n"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-    c = c.filter((F.col("n") >= min_overlap) & (F.col("sx") > 1e-12) & (F.col("sy") > 1e-12))
+    c = j.groupBy("topic", "lag").agg(F.covar_pop("x", "y").alias("cov"), F.count("*").alias("n"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    c = c.filter((F.col("n") >= min_overlap) & (F.col("sx") > 1e-12) & (F.col("sy") > 1e-12)).withColumn("corr", F.col("cov") / (F.col("sx") * F.col("sy")))
     w = Window.partitionBy("topic").orderBy(F.round("corr", 9).desc(), "lag")
     return c.withColumn("k", F.row_number().over(w)).filter("k = 1").select("topic", F.col("lag").alias("lag_ccf"), F.col("corr").alias("max_corr"))
