@@ -25,6 +25,8 @@ from loomwork.llm.components import components
 SHINGLE, SIMILAR = 5, 0.8
 #: At a similarity of 0.8 a pair shares no band with a chance of (1 - 0.8**5)**24, below 1 in 10,000.
 BANDS, ROWS = 24, 5
+#: Rounds of election over all buckets; a bucket with so many nodes left or fewer is then settled in one task.
+ROUNDS, TASK = 2, 1000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -139,17 +141,47 @@ class _Checker:
         return stored(both.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long, sim double"), "checked")
 
 
+def _jaccard(p: np.ndarray, q: np.ndarray) -> float:
+    if min(len(p), len(q)) < (2 * SIMILAR - 1) * max(len(p), len(q)):
+        return 0.0  # below what anything asks for
+    i = np.minimum(np.searchsorted(p, q), len(p) - 1)
+    both = int((p[i] == q).sum())
+    return both / (len(p) + len(q) - both)
+
+
+def _elect(rows: pa.Table) -> pa.Table:
+    """One bucket's elections in one task: each node by its id against the leaders so far; one that none takes leads on."""
+    rows = rows.sort_by("id")
+    key, leaders, out = rows.column("key")[0].as_py(), [], []
+    for i, x in zip(rows.column("id").to_pylist(), rows.column("grams").to_pylist(), strict=True):
+        q, taken = np.frombuffer(x, np.uint64), False
+        for a, p in leaders:
+            if (sim := _jaccard(p, q)) >= 2 * SIMILAR - 1:
+                out.append((key, a, i, sim))
+                taken |= sim >= SIMILAR
+        if not taken:
+            leaders.append((i, q))
+    return pa.table({n: pa.array([o[k] for o in out], t) for k, (n, t) in enumerate((("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())))})
+
+
 def _leaders(members: DataFrame, check: _Checker, pick) -> list[DataFrame]:
-    """Rounds of election in each bucket of members (key, id): the checked (key, a, b, sim) of every round."""
+    """Elections in each bucket of members (key, id): checked (key, a, b, sim). ROUNDS rounds over all buckets at once settle those of
+    one origin, however large; what is left of a bucket is then settled in one task if it has TASK nodes or
+    fewer, else by further rounds."""
     rounds = []
     while True:
         heads = members.groupBy("key").agg(pick("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
         asked = members.join(heads, "key").filter("id <> a").select("key", "a", F.col("id").alias("b"))
-        done = stored(asked.join(check(asked), ["a", "b"]), "round")
+        done = stored(asked.join(check(asked), ["a", "b"]).select("key", "a", "b", "sim"), "round")
         if done.isEmpty():
             return rounds
         rounds.append(done)
         members = done.filter(F.col("sim") < SIMILAR).select("key", F.col("b").alias("id"))
+        if len(rounds) == ROUNDS:
+            left = stored(members.join(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "left")
+            small = left.filter(F.col("n") <= TASK).select("key", "id").join(check.sets, "id")
+            rounds.append(stored(small.groupBy("key").applyInArrow(_elect, "key long, a long, b long, sim double"), "elected"))
+            members = left.filter(F.col("n") > TASK).select("key", "id")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
