@@ -5,10 +5,10 @@ process of rate w, each to a random component, and a component keeps the shingle
 in a component with the probability Jaccard of their weights. A text's arrivals end as soon as every component is
 taken and no later one can win. Bands of components give buckets; pairs are verified on the exact shingle sets.
 
-Texts with the same words are one node. In a bucket every node is verified against the least node; those that fail
-elect a new leader among themselves, and so on, so a bucket of n near copies costs about n checks and not n squared.
-Members of different clusters are then checked wherever the triangle inequality of the Jaccard distance leaves a
-link possible, until the bucket's links can join no more classes.
+Texts with the same words are one node. In two rounds every node of a bucket is verified against a leader, the
+node that shares most buckets with others, so a bucket of n near copies costs about n checks and not n squared.
+What these links leave in several classes is settled exactly: of each bucket the nodes outside its largest class
+meet all its nodes, in blocks of bounded size, and a block returns links between classes only.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from loomwork.llm.components import components
 SHINGLE, SIMILAR = 5, 0.8
 #: At a similarity of 0.8 a pair shares no band with a chance of (1 - 0.8**5)**24, below 1 in 10,000.
 BANDS, ROWS = 24, 5
-#: Rounds of election over all buckets; a bucket with so many nodes left or fewer is then settled in one task.
-ROUNDS, TASK = 2, 1000
+#: Rounds of election over all buckets; nodes and shingles (on average) of a block in the exact settlement of the rest.
+ROUNDS, BLOCK, GRAMS = 2, 500, 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,6 +97,7 @@ def _signatures(bands: int, rows: int):
                     {
                         "doc_id": part.column("doc_id").combine_chunks().cast(pa.int64()),
                         "digest": pa.array([xxhash.xxh3_128_digest(w) if w else None for w in words], pa.binary()),
+                        "size": pa.array(np.bincount(doc, minlength=n), pa.int64()),
                         "keys": pa.array([k.tolist() if h else None for k, h in zip(keys, has, strict=True)], pa.list_(pa.int64())),
                     }
                 )
@@ -141,47 +142,71 @@ class _Checker:
         return stored(both.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long, sim double"), "checked")
 
 
-def _jaccard(p: np.ndarray, q: np.ndarray) -> float:
-    if min(len(p), len(q)) < (2 * SIMILAR - 1) * max(len(p), len(q)):
-        return 0.0  # below what anything asks for
-    i = np.minimum(np.searchsorted(p, q), len(p) - 1)
-    both = int((p[i] == q).sum())
-    return both / (len(p) + len(q) - both)
-
-
-def _elect(rows: pa.Table) -> pa.Table:
-    """One bucket's elections in one task: each node by its id against the leaders so far; one that none takes leads on."""
-    rows = rows.sort_by("id")
-    key, leaders, out = rows.column("key")[0].as_py(), [], []
-    for i, x in zip(rows.column("id").to_pylist(), rows.column("grams").to_pylist(), strict=True):
-        q, taken = np.frombuffer(x, np.uint64), False
-        for a, p in leaders:
-            if (sim := _jaccard(p, q)) >= 2 * SIMILAR - 1:
-                out.append((key, a, i, sim))
-                taken |= sim >= SIMILAR
-        if not taken:
-            leaders.append((i, q))
-    return pa.table({n: pa.array([o[k] for o in out], t) for k, (n, t) in enumerate((("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())))})
-
-
-def _leaders(members: DataFrame, check: _Checker, pick) -> list[DataFrame]:
-    """Elections in each bucket of members (key, id): checked (key, a, b, sim). ROUNDS rounds over all buckets at once settle those of
-    one origin, however large; what is left of a bucket is then settled in one task if it has TASK nodes or
-    fewer, else by further rounds."""
-    rounds = []
-    while True:
-        heads = members.groupBy("key").agg(pick("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
-        asked = members.join(heads, "key").filter("id <> a").select("key", "a", F.col("id").alias("b"))
+def _settle(rows: pa.Table) -> pa.Table:
+    """Links (a, b) between the classes of one block's nodes: those marked rest against all, by exact similarity. Shingles
+    of one node only count in its size. A forest: fewer links than the block has classes."""
+    rest = np.array(rows.column("rest").to_pylist(), bool)
+    named = rows.column("c").to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("grams").to_pylist()]
+    size = np.array([len(x) for x in sets], np.int64)
+    _, gram, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[gram]
+    node = np.repeat(np.arange(len(sets)), size)[place >= 0]
+    place = place[place >= 0]
+    order = np.argsort(place, kind="stable")
+    node, place = node[order], place[order]
+    both, left = np.zeros((int(rest.sum()), len(sets)), np.float64), np.flatnonzero(rest)
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, 2048):
+        i, j = np.searchsorted(place, [at, at + 2048])
+        has = np.zeros((len(sets), 2048), np.float32)
+        has[node[i:j], place[i:j] - at] = 1
+        both += has[left] @ has.T
+    linked = (both / np.maximum(size[left][:, None] + size[None, :] - both, 1) >= SIMILAR) & (named[left][:, None] != named[None, :])
+    p, q = np.nonzero(linked)
+    root, out = {}, []
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in np.unique(np.stack([named[left[p]], named[q]], 1), axis=0).tolist():
+        if (x := find(a)) != (y := find(b)):
+            root[x] = y
+            out.append((a, b))
+    return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+
+def _elections(members: DataFrame, check: _Checker) -> list[DataFrame]:
+    """ROUNDS rounds in each bucket of members (key, id, degree): checked (key, a, b, sim). Who fails the first leader
+    elects another."""
+    rounds, left = [], members
+    for _ in range(ROUNDS):
+        heads = left.groupBy("key").agg(F.max(F.struct("degree", "id")).alias("top"), F.count("*").alias("n")).filter("n > 1")
+        asked = left.join(heads.select("key", F.col("top.id").alias("a")), "key").filter("id <> a").select("key", "a", F.col("id").alias("b"))
         done = stored(asked.join(check(asked), ["a", "b"]).select("key", "a", "b", "sim"), "round")
-        if done.isEmpty():
-            return rounds
         rounds.append(done)
-        members = done.filter(F.col("sim") < SIMILAR).select("key", F.col("b").alias("id"))
-        if len(rounds) == ROUNDS:
-            left = stored(members.join(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "left")
-            small = left.filter(F.col("n") <= TASK).select("key", "id").join(check.sets, "id")
-            rounds.append(stored(small.groupBy("key").applyInArrow(_elect, "key long, a long, b long, sim double"), "elected"))
-            members = left.filter(F.col("n") > TASK).select("key", "id")
+        failed = done.filter(F.col("sim") < SIMILAR).select("key", F.col("b").alias("id"))
+        left = members.join(failed, ["key", "id"])
+    return rounds
+
+
+def _blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Blocks (key, i, j, id, c, rest) in which all pairs of a bucket meet that are of different classes c. Buckets of
+    one class have none; of buckets with the same nodes one is taken."""
+    named = members.join(classes, "id", "left").select("key", "id", "size", F.coalesce("class_id", "id").alias("c"))
+    parts = named.groupBy("key", "c").agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    buckets = parts.groupBy("key").agg(
+        F.count("*").alias("classes"), F.max(F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")
+    ).filter("classes > 1 and n > 2")  # two nodes have met in the election
+    once = buckets.groupBy("n", "s", "x", "y").agg(F.min_by(F.struct("key", F.col("main.c").alias("most"), (F.col("n") - F.col("main.n")).alias("rests")), "key").alias("k"))
+    cut = lambda n: F.greatest(F.ceil(n / BLOCK), F.ceil(F.col("s") / GRAMS)).cast("int")
+    plan = once.select("k.key", "k.most", cut(F.col("k.rests")).alias("r"), cut(F.col("n")).alias("m"))
+    placed = stored(named.join(plan, "key"), "placed")
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = placed.filter("c <> most").select("key", mine("r").alias("i"), every("m").alias("j"), "id", "c", F.lit(True).alias("rest"))
+    return placed.select("key", every("r").alias("i"), mine("m").alias("j"), "id", "c", F.lit(False).alias("rest")).unionByName(rest)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,35 +218,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Other columns are left out.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = stored(rows.mapInArrow(_signatures(BANDS, ROWS), "doc_id long, digest binary, keys array<long>"), "signatures")
-    nodes = marked.filter("doc_id is not null and digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "keys")).alias("least"))
-    nodes = stored(nodes.select("digest", F.col("least.doc_id").alias("id"), F.col("least.keys").alias("keys")), "nodes")
-    keyed = nodes.filter("keys is not null").select("id", F.explode("keys").alias("key")).distinct()
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    marked = stored(rows.mapInArrow(_signatures(BANDS, ROWS), "doc_id long, digest binary, size long, keys array<long>"), "signatures")
+    nodes = marked.filter("doc_id is not null and digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "size", "keys")).alias("least"))
+    nodes = stored(nodes.select("digest", F.col("least.doc_id").alias("id"), F.col("least.size").alias("size"), F.col("least.keys").alias("keys")), "nodes")
+    keyed = nodes.filter("keys is not null").select("id", "size", F.explode(F.array_distinct("keys")).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(keyed.join(shared, "key"), "members")
+    members = members.join(members.groupBy("id").agg(F.sum("n").alias("degree")), "id")
 
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     sets = stored(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, grams binary"), "sets")
     check = _Checker(sets)
-    first = _leaders(members, check, F.min)
-    links = [r.filter(F.col("sim") >= SIMILAR).select("a", "b") for r in first]
-    empty = members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    classes = components(_union([empty, *links]))
-
-    open_ = stored(_open(members, classes), "open")
-    if not open_.isEmpty():
-        # again with other leaders, in the buckets that still hold several classes of which some may belong together
-        near = _union([r.filter((F.col("sim") >= SIMILAR - 0.2) & (F.col("sim") < SIMILAR)).select("key") for r in first]).distinct()
-        again = stored(members.join(open_.select("key").distinct(), "key").join(near, "key"), "again")
-        if not again.isEmpty():
-            second = _leaders(again, check, F.max)
-            links += [r.filter(F.col("sim") >= SIMILAR).select("a", "b") for r in second]
-            classes = components(_union([empty, *links]))
-            # exact: what is still apart, where the distances to a leader leave a link possible
-            pairs = stored(_possible(_union([*first]), classes), "possible")
-            if not pairs.isEmpty():
-                links.append(check(pairs).filter(F.col("sim") >= SIMILAR).select("a", "b"))
-                classes = components(_union([empty, *links]))
+    links = _union([r.filter(F.col("sim") >= SIMILAR).select("a", "b") for r in _elections(members, check)])
+    classes = stored(components(links), "classes")
+    met = _blocks(members, classes).join(sets, "id").groupBy("key", "i", "j").applyInArrow(_settle, "a long, b long")
+    classes = components(links.unionByName(stored(met, "met")))
     of_node = nodes.select("digest", "id").join(classes, "id", "left").select("digest", F.coalesce("class_id", "id").alias("class_id"))
     return marked.select("doc_id", "digest").join(of_node, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
@@ -233,21 +244,5 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _open(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Buckets with two classes or more."""
-    named = members.join(classes, "id", "left").select("key", F.coalesce("class_id", "id").alias("c"))
-    return named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
-
-
-def _possible(checked: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of different classes in a bucket that failed nodes may form with the nodes that their leader took: by
-    the triangle inequality d(x, y) is d(y, leader) - d(x, leader) at least."""
-    named = checked.join(classes.withColumnRenamed("id", "b"), "b", "left").withColumn("c", F.coalesce("class_id", "b"))
-    far = named.filter((F.col("sim") < SIMILAR) & (F.col("sim") >= 2 * SIMILAR - 1)).select("key", "a", F.col("b").alias("y"), F.col("sim").alias("s"), F.col("c").alias("cy"))
-    near = named.filter(F.col("sim") >= SIMILAR).select("key", "a", F.col("b").alias("x"), F.col("sim").alias("t"), F.col("c").alias("cx"))
-    met = far.join(near, ["key", "a"]).filter((F.col("cx") != F.col("cy")) & (F.col("t") - F.col("s") <= 1 - SIMILAR))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))

@@ -154,6 +154,29 @@ def test_chain_of_near_copies(spark):
     assert {x["class_id"] for x in got} == {0}
 
 
+def test_near_dups_settled_in_blocks(spark, monkeypatch):
+    """Without any shared leader, and with blocks of two nodes, the classes are those of brute force."""
+    monkeypatch.setattr(near_dups, "BLOCK", 2)
+    monkeypatch.setattr(near_dups, "ROUNDS", 1)
+    r = random.Random(9)
+    base = [words_of(r, 150).split() for _ in range(2)]
+    rows = []
+    for i in range(24):
+        w = list(base[i % 2])
+        for p in r.sample(range(0, 150, 6), 1 + i % 4):
+            w[p] = f"n{i}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[p : p + 5]) for p in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    least = list(range(24))
+    for _ in rows:
+        for a in range(24):
+            for b in range(24):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    got = near_dups.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(x) for x in got) == list(enumerate(least))
+
+
 def test_prob_min_hash():
     """Components agree with the probability Jaccard of the weights."""
     e = np.arange(1, 31, dtype=np.uint64) * np.uint64(7919)
