@@ -323,6 +323,19 @@ def test_decontam(spark, none):
     assert decontam.contaminated(none, bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontam_of_a_large_benchmark(spark):
+    """The latent space keeps little of each of so many items; each whole one and each paraphrase is found all the same."""
+    r = random.Random(6)
+    items = [(k, words_of(r, r.randint(15, 59))) for k in range(2500)]
+    rows = [(k, f"{words_of(r, 90)} {items[k * 12][1]} {words_of(r, 90)}") for k in range(200)]
+    for k in range(200, 260):  # paraphrases: every eighth word replaced
+        item = " ".join("other" if j % 8 == 7 else w for j, w in enumerate(items[k][1].split()))
+        rows.append((k, f"{words_of(r, 90)} {item} {words_of(r, 90)}"))
+    found = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(x["doc_id"], x["item_id"]) for x in found.collect()}
+    assert got == {(k, k * 12) for k in range(200)} | {(k, k) for k in range(200, 260)}
+
+
 def test_packing(spark, docs, rows, none):
     import public_tokenizers
     from tokenizers import Tokenizer
