@@ -1,6 +1,7 @@
 """Near-duplicate classes with ProbMinHash.
 
-Each text is a set of five-word shingles weighted 1 + ln(count). A shingle of weight w sends arrivals of a Poisson
+Each text is a set of five-word shingles. Links are defined on sets, so every shingle has weight 1: weights by count would
+drive apart texts whose differing part repeats within one of them. A shingle of weight w sends arrivals of a Poisson
 process of rate w, each to a random component, and a component keeps the shingle that comes first: two texts agree
 in a component with the probability Jaccard of their weights. A text's arrivals end as soon as every component is
 taken and no later one can win. Bands of components give buckets; pairs are verified on the exact shingle sets.
@@ -83,9 +84,9 @@ def _signatures(bands: int, rows: int):
         for batch in batches:
             for part in sized(pa.Table.from_batches([batch]), "text"):
                 raw, ends = utf8(part.column("text"))
-                doc, element, count = weighted_shingles(raw, ends)
+                doc, element, _ = weighted_shingles(raw, ends)
                 n = len(part)
-                who = prob_min_hash(doc, element, 1 + np.log(count), n, bands * rows).reshape(n, bands, rows)
+                who = prob_min_hash(doc, element, np.ones(len(doc)), n, bands * rows).reshape(n, bands, rows)
                 keys = np.zeros((n, bands), np.uint64)
                 for r in range(rows):
                     keys = mix(keys * _GOLD + who[:, :, r])

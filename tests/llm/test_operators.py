@@ -177,6 +177,20 @@ def test_near_dups_settled_in_blocks(spark, monkeypatch):
     assert sorted(tuple(x) for x in got) == list(enumerate(least))
 
 
+def test_near_copies_with_repeated_lines(spark):
+    """One copy has further lines that occur 60 times each: the sets stay similar, the counts don't."""
+    r = random.Random(8)
+    rows, want = [], {}
+    for k in range(40):
+        base, line = words_of(r, 204), words_of(r, 30)
+        rows += [(2 * k, base), (2 * k + 1, " ".join([base] + [line] * 60))]
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows[-2:]))
+        assert len(a & b) / len(a | b) >= 0.8
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k}
+    got = near_dups.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["class_id"] for x in got} == want
+
+
 def test_prob_min_hash():
     """Components agree with the probability Jaccard of the weights."""
     e = np.arange(1, 31, dtype=np.uint64) * np.uint64(7919)
