@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+
+def stratified_bootstrap(counts: DataFrame, strata: list[str], kinds: list[str], runs: int = 200, seed: int = 2026) -> DataFrame:
+    """(run, strata, kinds, n) from counts (strata, kinds, n): in each run as many rows as a stratum has are drawn from it with
+    replacement. What a draw of single rows gives for each kind is a multinomial draw, so no row is repeated. Seeded by stratum."""
+    cols = strata + kinds
 
+    def draw(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in kinds])
+        n = rows.column("n").to_numpy()
+        name = repr([rows.column(c)[0].as_py() for c in strata]).encode()
+        got = np.random.default_rng([seed, zlib.crc32(name)]).multinomial(n.sum(), n / n.sum(), size=runs)
+        out = {c: rows.column(c).take(pa.array(np.tile(np.arange(len(n)), runs))) for c in cols}
+        return pa.table({"run": pa.array(np.repeat(np.arange(1, runs + 1), len(n)), pa.int32()), **out, "n": pa.array(got.ravel(), pa.int64())})
 
-def poisson_bootstrap(df: DataFrame, keys: list[str], runs: int = 50, seed: int = 2026) -> DataFrame:
-    """df with run and weight: each row's Poisson(1) draw in each run, from a hash of its keys, so the same rows give the same
-    draws anywhere. It stands for sampling with replacement; strata keep their sizes in the mean."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "run", *keys), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    w = F.lit(6)
-    for k in range(len(cdf) - 1, -1, -1):
-        w = F.when(F.col("u") < cdf[k], k).otherwise(w)
-    return df.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs)))).withColumn("u", u).withColumn("weight", w).filter("weight > 0").drop("u")
+    schema = StructType([StructField("run", IntegerType()), *[counts.schema[c] for c in cols], StructField("n", LongType())])
+    return counts.select(*cols, F.col("n").cast("long")).groupBy(*strata).applyInArrow(draw, schema)
 
 
 def summarize_runs(runs: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -731,9 +731,9 @@ def stratified_sample(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    """Bootstrapped share of each region in each topic."""
-    runs = resample.poisson_bootstrap(works(spark, d).groupBy("topic", "country", "year", "citation").agg(F.count("*").alias("n")), ["topic", "country", "year", "citation"])
-    s = runs.groupBy("run", "topic", "country").agg(F.sum(F.col("weight") * F.col("n")).alias("n"))
+    """Bootstrapped share of each region in each topic, rows drawn within year and region."""
+    runs = resample.stratified_bootstrap(works(spark, d).groupBy("year", "country", "topic").agg(F.count("*").alias("n")), ["year", "country"], ["topic"])
+    s = runs.groupBy("run", "topic", "country").agg(F.sum("n").alias("n"))
     s = s.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("run", "topic")))
     return resample.summarize_runs(s, ["topic", "country"], "share")
 

@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomwork.operators import divergence, edges, graph, knn, panel, trajectory, trend
+from loomwork.operators import divergence, edges, graph, knn, panel, resample, trajectory, trend
 from loomwork.sources.papers import clean_papers, country_exact, first_filled
 
 
@@ -78,3 +78,14 @@ def test_clusters(spark):
     d = np.abs(np.subtract.outer([0.0, 0.1, 5, 5.2, 9], [0.0, 0.1, 5, 5.2, 9]))
     assert trajectory.cut_tree(trajectory.linkage(d), 5, 3).tolist() == [0, 0, 1, 1, 2]
     assert trajectory.dtw(np.array([0.0, 1, 2]), np.array([0.0, 0, 1, 2])) == 0
+
+
+def test_stratified_bootstrap(spark):
+    """Each run keeps the strata's sizes, and a kind's count varies as a draw of single rows does, not of whole groups."""
+    counts = spark.createDataFrame([(1, "x", "a", 4000), (1, "x", "b", 6000), (2, "x", "a", 10)], "year int, country string, topic string, n long")
+    runs = resample.stratified_bootstrap(counts, ["year", "country"], ["topic"])
+    got = [tuple(r) for r in runs.collect()]
+    assert sorted(got) == sorted(tuple(r) for r in runs.collect()) and len({r[0] for r in got}) == 200
+    assert {(r["run"], r["year"]): r["n"] for r in runs.groupBy("run", "year").agg(F.sum("n").alias("n")).collect()} == {(k, y): n for k in range(1, 201) for y, n in ((1, 10000), (2, 10))}
+    a = np.array([r[4] for r in got if r[1] == 1 and r[3] == "a"])
+    assert abs(a.mean() - 4000) < 20 and 40 < a.std() < 60  # sqrt(10000 * 0.4 * 0.6) = 49
