@@ -43,10 +43,36 @@ def stratified_sample(df: DataFrame, strata: list[str], key: str, per_group: int
 
 
 def matched_negatives(pos: DataFrame, neg: DataFrame, strata: list[str], keys: list[str]) -> DataFrame:
-    """As many rows of neg as pos has in each stratum, in the order of the MD5 of the keys."""
-    quota = pos.groupBy(*strata).agg(F.count("*").alias("quota"))
-    w = Window.partitionBy(*strata).orderBy(F.md5(F.concat_ws("-", *keys)), *keys)
-    return neg.join(quota, strata).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= F.col("quota")).drop("k", "quota")
+    """As many rows of neg as pos has, or all if neg has fewer: first by stratum, as many as pos has there, then what lacks by the
+    first of the strata, in proportion to pos and the largest first, then any. The order is that of the MD5 of the keys."""
+    neg = neg.withColumn("md5", F.md5(F.concat_ws("-", *keys)))
+    order = ["md5", *keys]
+    same = lambda by: [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    counts = lambda df, by, name: df.groupBy(*by).agg(F.count("*").alias(name))
+    join = lambda a, b, by: a.alias("a").join(b.alias("b"), same(by), "left").drop(*[F.col(f"b.{c}") for c in by])
+    target = min(pos.count(), neg.count())
+    total = max(1, pos.count())
+    share = F.greatest(F.lit(1), F.round(F.col("quota") * target / total)).cast("long")
+
+    def ranked(df, by):
+        return df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+    first = ranked(join(neg, counts(pos, strata, "quota").withColumn("quota", share), strata), strata)
+    first = first.withColumn("step", F.when(F.col("k") <= F.col("quota"), 1)).drop("k", "quota")
+    lack = target - first.filter("step = 1").count()
+    pair = strata[:1]
+    free = counts(first.filter("step is null"), pair, "free")
+    plan = join(counts(pos, pair, "quota"), free, pair).withColumn("want", F.least(share, F.coalesce("free", F.lit(0))))
+    before = F.sum("want").over(Window.orderBy(F.desc("quota"), *pair).rowsBetween(Window.unboundedPreceding, -1))  # few pairs
+    plan = plan.withColumn("want", F.greatest(F.lit(0), F.least("want", F.lit(lack) - F.coalesce(before, F.lit(0))))).select(*pair, "want")
+    rest = ranked(join(first.filter("step is null"), plan, pair), pair)
+    rest = rest.withColumn("step", F.when(F.col("k") <= F.col("want"), 2)).drop("k", "want")
+    lack -= rest.filter("step = 2").count()
+    any_ = rest.filter("step is null").orderBy(*order).limit(max(0, lack))
+    out = first.filter("step = 1").unionByName(rest.filter("step = 2")).unionByName(any_).drop("step")
+    if lack < 0:  # rounding asked for a few too many
+        out = out.join(out.orderBy(*[F.desc(c) for c in ("md5", *keys)]).limit(-lack).select(*keys), keys, "left_anti")
+    return out.drop("md5")
 
 
 def link_model(edges: DataFrame, features: list[str], label: str = "y") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.columns import r6
+from loomwork.functions.storage import cut
 from loomwork.operators import divergence, edges, graph, impact, knn, panel, resample, topics, trajectory, trend
 from loomwork.sources.papers import WORKS_SQL, clean_papers, country_contains, country_exact, country_folded, country_three, works
 
@@ -709,6 +710,7 @@ def _links(spark, d) -> DataFrame:
     return e.select(
         "src", "dst", (F.col("edge_type") == "both").cast("int").alias("y"), "sim", (F.col("year_src") - F.col("year_dst")).cast("double").alias("gap"), (F.col("topic_src") == F.col("topic_dst")).cast("double").alias("same_topic"),
         ((F.col("country_src") == "CN") & (F.col("country_dst") == "US")).cast("double").alias("cn_us"), ((F.col("country_src") == "US") & (F.col("country_dst") == "CN")).cast("double").alias("us_cn"),
+        F.concat_ws("->", "country_src", "country_dst").alias("country_pair"), edges.gap_bucket(F.col("year_src") - F.col("year_dst")).alias("gap_bin"),
     )
 
 
@@ -720,8 +722,8 @@ def logit_edges(spark, d):
 
 @query()
 def matched_negatives(spark, d):
-    e = _links(spark, d)
-    return resample.matched_negatives(e.filter("y = 1"), e.filter("y = 0"), ["cn_us", "us_cn"], ["src", "dst"])
+    e = cut(_links(spark, d))
+    return resample.matched_negatives(e.filter("y = 1"), e.filter("y = 0"), ["country_pair", "gap_bin"], ["src", "dst"]).drop("country_pair", "gap_bin")
 
 
 @query(f"WITH {EMB} SELECT id, CAST(label AS BIGINT) AS label, CAST(year AS BIGINT) AS year FROM emb QUALIFY row_number() OVER (PARTITION BY label, year ORDER BY md5(CAST(id AS VARCHAR)), id) <= 2")

@@ -89,3 +89,15 @@ def test_stratified_bootstrap(spark):
     assert {(r["run"], r["year"]): r["n"] for r in runs.groupBy("run", "year").agg(F.sum("n").alias("n")).collect()} == {(k, y): n for k in range(1, 201) for y, n in ((1, 10000), (2, 10))}
     a = np.array([r[4] for r in got if r[1] == 1 and r[3] == "a"])
     assert abs(a.mean() - 4000) < 20 and 40 < a.std() < 60  # sqrt(10000 * 0.4 * 0.6) = 49
+
+
+def test_matched_negatives(spark):
+    """Strata first, then the country pair, then any, until there are as many as positives."""
+    cols = "src long, dst long, pair string, gap string"
+    pos = spark.createDataFrame([(k, 0, "CN->US", "0") for k in range(6)] + [(k, 0, "US->CN", "1-2") for k in range(6, 10)], cols)
+    neg = [(k, 1, "CN->US", "0") for k in range(2)] + [(k, 1, "CN->US", ">10") for k in range(2, 5)] + [(k, 1, "US->CN", "1-2") for k in range(5, 9)] + [(k, 1, "JP->KR", "0") for k in range(9, 30)]
+    got = [tuple(r)[0] for r in resample.matched_negatives(pos, spark.createDataFrame(neg, cols), ["pair", "gap"], ["src", "dst"]).select("src").collect()]
+    assert len(got) == len(set(got)) == 10 and set(range(9)) < set(got)
+    few = spark.createDataFrame(neg[:3], cols)
+    assert resample.matched_negatives(pos, few, ["pair", "gap"], ["src", "dst"]).count() == 3
+    assert resample.matched_negatives(pos.limit(0), few, ["pair", "gap"], ["src", "dst"]).count() == 0
