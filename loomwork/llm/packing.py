@@ -9,30 +9,37 @@ so the plan's size depends on the capacity and not on the corpus. The plan is jo
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import one_thread, stored, table
+from loomwork.llm.common import one_thread, sized, stored, table
 
 CAPACITY, END_ID = 1024, 2
 #: Pieces of one length that are numbered in one task, on average.
 NUMBERED = 200_000
-#: Units whose ids a Python worker keeps; at that many the store starts afresh.
+#: Parts of text whose ids a Python worker keeps: beyond so many they become the older half, which is asked until the next are as many.
 CACHED = 400_000
+#: Places where a text may be cut: before a space that a letter, a digit or a visible ASCII character stands before. A space that follows
+#: white space is no such place.
+_CUT, _WHITE_BEFORE = re.compile(r"(?<=[\w!-~])(?= )"), re.compile(r" (?<=\s )")
+_PLAIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff!-~\n]+")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class _Encoder:
-    """ids of the tokenizer file, as little-endian bytes.
+    """ids that tokenizers gives for the tokenizer file, as little-endian bytes.
 
-    The byte-level pattern never joins a non-space character with a following space, so a text may be cut before
-    every space that follows a non-space and the parts encoded alone. Parts are remembered. Plain parts are encoded
-    from the file's own vocabulary and merges by a second implementation; parts that hold an added token's text,
-    and files of another kind, by tokenizers.
+    A byte-level pattern's matches never hold a character that isn't white space and then a space, and its only look-ahead is for white
+    space. So a text without an added token's text may be cut before every space that follows no white space; the parts are encoded
+    alone, and ids of parts that come again are remembered. Parts of visible ASCII and Latin letters only, whose classes are the same in all
+    versions of Unicode, go through tiktoken over the file's own vocabulary, which takes half the time; all others through tokenizers.
+    Texts of files of another kind are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -41,46 +48,68 @@ class _Encoder:
 
         from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        tokens = spec.get("added_tokens") or []
+        self.added = [t["content"] for t in tokens]
+        self.between = next(((t["content"], t["id"]) for t in tokens if not (t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized"))), None)
         pre = spec.get("pre_tokenizer") or {}
-        self.by_unit = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
-        self.fast = _ranked(spec, self.added) if self.by_unit else None
-        self.cache: dict[str, bytes] = {}
-
-    def _units(self, units: list[str]) -> None:
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        odd = [u for u in units if any(a in u for a in self.added)]
-        for u in units if not odd else set(units) - set(odd):
-            self.cache[u] = array("I", self.fast(u)).tobytes()
-        for u in odd:
-            self.cache[u] = array("I", self.slow.encode(u, add_special_tokens=False).ids).tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if not self.by_unit or "  " in text:  # a run of spaces is one match and must not be cut
-            return array("I", self.slow.encode(text, add_special_tokens=False).ids).tobytes() if not self.fast or any(a in text for a in self.added) else array("I", self.fast(text)).tobytes()
-        first, *rest = text.split(" ")
-        units = [first, *[" " + u for u in rest]]
-        cache = self.cache
-        try:
-            return b"".join([cache[u] for u in units])
-        except KeyError:
-            self._units([u for u in dict.fromkeys(units) if u not in cache] if len(cache) <= CACHED else list(dict.fromkeys(units)))
-            return b"".join([self.cache[u] for u in units])
-
-
-def _ranked(spec: dict, added: list[str]):
-    """tiktoken over the vocabulary of a byte-level BPE file, or None if its ids aren't in the order of its merges."""
+        self.cut = bool(self.between) and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
+        self.plain = _plain(spec, self.added) if self.cut else None
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _units(self, text: str) -> list[str] | None:
+        """The text's parts, or None if it is encoded whole."""
+        if not self.cut or any(a in text for a in self.added):
+            return None
+        if "\0" in text or _WHITE_BEFORE.search(text):
+            return _CUT.split(text)
+        return text.replace(" ", "\0 ").split("\0")
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [self._units(t) for t in texts]
+        if len(self.known) > CACHED:
+            self.known, self.older = {}, self.known
+        known = self.known
+        self._learn([u for u in dict.fromkeys(u for units in split if units for u in units) if u not in known])
+        return [self.whole(t) if units is None else b"".join([known[u] for u in units]) for t, units in zip(texts, split, strict=True)]
+
+    def _learn(self, units: list[str]) -> None:
+        known, older = self.known, self.older
+        if older:
+            known.update((u, older[u]) for u in units if u in older)
+            units = [u for u in units if u not in older]
+        if self.plain:
+            plain = self.plain
+            known.update((u, array("I", plain(u)).tobytes()) for u in units if _PLAIN.fullmatch(u))
+            units = [u for u in units if u not in known]
+        # text on either side of an added token is encoded apart from the other, so one stands between the parts
+        for i in range(0, len(units), 20_000):
+            some = units[i : i + 20_000]
+            ids = np.array(self.tokenizer.encode(self.between[0].join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.between[1]), len(ids)).tolist()
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(some, ends, strict=True):
+                self.known[p] = raw[4 * at : 4 * end]
+                at = end + 1
+
+
+def _plain(spec: dict, added: list[str]):
+    """tiktoken over the vocabulary of a byte-level BPE file, or None unless its ids are in the order of its merges."""
     import tiktoken
 
+    if spec["model"].get("type") != "BPE" or any(spec["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return None
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     back = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(visible))}
     vocab = {k: v for k, v in spec["model"]["vocab"].items() if k not in added}
     merged = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
-    if [vocab.get(m.replace(" ", "", 1)) for m in merged] != list(range(256, 256 + len(merged))):
+    if [vocab.get(m.replace(" ", "", 1)) for m in merged] != list(range(256, 256 + len(merged))) or len(vocab) != 256 + len(merged):
         return None
     pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={bytes(back[c] for c in k): v for k, v in vocab.items()}, special_tokens={}).encode_ordinary
@@ -101,16 +130,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
     def run(batches):
         encode, end = _encoder(tokenizer), array("I", [end_id]).tobytes()
-        for batch in batches:
+        for part in (p for b in batches for p in sized(pa.Table.from_batches([b]), "text", 1_000_000)):
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = memoryview(encode(text or "") + end)
+            for doc_id, own in zip(part.column("doc_id").to_pylist(), encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
+                ids = memoryview(own + end)
                 n = len(ids) // 4
                 at, k = 0, 0
                 while at < n:
                     to = at + (n % capacity or capacity) if k == 0 else at + capacity
-                    part = ids[4 * at : 4 * to]
-                    for c, v in zip(out, (doc_id, k, at, to - at, zlib.crc32(part), part.cast("I").tolist() if keep_ids else None), strict=True):
+                    piece = ids[4 * at : 4 * to]
+                    for c, v in zip(out, (doc_id, k, at, to - at, zlib.crc32(piece), piece.cast("I").tolist() if keep_ids else None), strict=True):
                         out[c].append(v)
                     at, k = to, k + 1
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
