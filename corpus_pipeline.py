@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import decontam, line_runs, near_dups, packing, toxicity
-from loomwork.llm.common import stored, table
+from loomwork.llm.common import forget, shared_path, table
 
 #: No stage but line dedup can be put in SQL; tests/llm/test_pipeline.py only holds run()'s ids to those of
 #: the same STAGES one by one, and its sequences to their length; the stages' decisions are not held to brute force there.
@@ -21,16 +21,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that repeat across documents; n_chars follows the text. Null text stays null."""
-    text = F.when(F.col("text").isNotNull(), F.col("kept"))
-    return line_runs.dedup_lines(docs).withColumns({"text": text, "n_chars": F.when(F.col("n_dropped") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    return line_runs.with_kept_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each near-duplicate class; of rows that repeat a doc_id one stays. Rows of a null
-    doc_id stay."""
+    """The document with the least doc_id of each near-duplicate class. Of rows that repeat both its doc_id and its text one stays, and
+    rows of its doc_id with other texts are parts of it and stay too. Rows of a null doc_id stay."""
     classes = near_dups.near_classes(docs)
-    first = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    first = classes.filter("doc_id = class_id").select(F.col("class_id").alias("doc_id")).distinct()
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +54,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each result is written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents; each result is written as Parquet in the shared folder and read again, and goes when the next is there."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = shared_path(spark, name)
+        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            forget(spark, before)
+        before = path
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -22,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, removed when the session's JVM ends.
 
-    Only where that setting is missing (tests on one machine) is a local folder made and set.
+    Where that setting is missing a local folder is made and set, but only for a master on one machine (tests); on a
+    cluster executors would write to their own disks, so that raises.
     """
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="loomwork-")
         spark.conf.set("spark.checkpoint.dir", top)
     jvm = spark.sparkContext._jvm
@@ -42,6 +46,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes what was written at path, which nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size: for a scan the bytes of its files. No job runs."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -61,6 +71,19 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0, F.lit(False))
 
 
+def share_of(*cols: str):
+    """A number from 0 up to 1 that a hash of the columns fixes: the rows below x are a sample of that share."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores after it until no taken column has it; case does not count."""
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 # ---------------------------------------------------------------- words as numpy arrays
 
 _SPACE = np.zeros(256, dtype=bool)

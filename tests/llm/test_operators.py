@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomwork.llm import chat, decontam, fingerprints, language, line_runs, near_dups, packing, pages, passages, toxicity
 
@@ -107,14 +108,30 @@ def test_line_runs(docs, none, rows):
 
 
 def test_line_runs_levels(spark):
-    runs = line_runs.LineRuns(spark, fanout=2)
-    make = lambda n: spark.createDataFrame([(n, b"m", 0, bytes([k])) for k in range(3)], "doc_id long, mark binary, pos int, key binary")
-    for n in range(5):
-        if n:
-            assert runs.novel(make(n)).count() == 0
+    """Batches in descending order of ids: a key's largest document is that of its first batch, and counts add up over all levels."""
+    runs = line_runs.LineRuns(spark, fanout=2, buckets=3)
+    make = lambda n: spark.createDataFrame([(n, b"m", 0, bytes([k])) for k in range(3 + n % 2)], "doc_id long, mark binary, pos int, key binary")
+    for n in range(9, 4, -1):
+        assert {r["key"][0] for r in runs.novel(make(n)).collect()} == ({0, 1, 2, 3} if n == 9 else set())
         runs.add(make(n))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert {(r["key"][0], r["max_doc"]) for r in runs.frequent(5).collect()} == {(k, 4) for k in range(3)}
+    assert "SortMergeJoin" in runs.novel(make(1))._jdf.queryExecution().toString() and "SelectedBucketsCount: 3 out of 3" in runs.novel(make(1))._jdf.queryExecution().toString()
+    assert {(r["key"][0], r["max_doc"]) for r in runs.frequent(3).collect()} == {(k, 9) for k in range(4)}
+
+
+def test_line_runs_names_and_repeats(spark):
+    """Equal rows each lose the same lines, and input columns of the operator's own names pass through."""
+    line = "a frequent line of more than forty code points, it is"
+    rows = [(1, f"{line}\nx", 5, "k", "d"), (1, f"{line}\nx", 5, "k", "d"), *[(i, f"{line}\n{line}\ny", 6, "k2", None) for i in range(2, 8)], (9, line * 3000, 0, "", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, kept string, `drop` string").withColumns({c: F.lit(c) for c in ("mark", "row", "lines", "kept_", "__doc", "max_doc")})
+    got = line_runs.dedup_lines(df)
+    assert set(got.columns) == {*df.columns, "n_lines_", "n_dropped", "kept__"}
+    found = sorted(tuple(r) for r in got.select("doc_id", "n_lines", "n_dropped", "kept", "n_lines_", "kept__", "kept_", "mark").collect())
+    want = [(1, 2, 1, "x", 5, "k", "kept_", "mark")] * 2 + [(i, 3, 2, "y", 6, "k2", "kept_", "mark") for i in range(2, 7)] + [(7, 3, 0, f"{line}\n{line}\ny", 6, "k2", "kept_", "mark"), (9, 1, 0, line * 3000, 0, "", "kept_", "mark")]
+    assert found == want
+    same = line_runs.with_kept_lines(df.withColumn("n_chars", F.length("text")))
+    assert same.columns == [*df.columns, "n_chars"] and {(r["doc_id"], r["text"], r["n_chars"], r["kept"]) for r in same.filter("doc_id < 3").collect()} == {(1, "x", 1, "k"), (2, "y", 1, "k2")}
+    assert line_runs.with_kept_lines(df.limit(0)).count() == 0
 
 
 def test_near_dups(docs, none, rows):
@@ -227,7 +244,7 @@ def test_toxicity(spark, none):
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(odd, model).collect())
     assert toxicity.drop_toxic(odd, model).columns == odd.columns
     assert toxicity.score(none, model).count() == 0
-    assert toxicity.fit([], []).scores(["x"])[0] < 0.5
+    assert toxicity.fit([]).scores(["x"])[0] < 0.5
 
 
 def test_fingerprints(docs, none, rows):
@@ -377,6 +394,20 @@ def test_packing(spark, docs, rows, none):
     assert packing.pack_documents(none, path).count() == 0
 
 
+def test_packing_ids():
+    """Every id is that of tokenizers, around all white space of Unicode, contractions, marks and added tokens."""
+    import public_tokenizers
+
+    e = packing._Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert e.cut and e.plain
+    white = "".join(chr(i) for i in range(0x110000) if chr(i).isspace()) + "\u180e\u200b\ufeff"
+    r = random.Random(1)
+    some = ["a", "Be", "'ll", "'s", "é", "1", "  ", " ", " ", "\n", ".", "!", "漢", "_", "²", "\u0301", "ª", "\0", "<|endoftext|>", "😀"]
+    texts = ["".join(r.choice([*some, r.choice(white)]) for _ in range(r.randint(0, 12))) for _ in range(20_000)] + [" \xa0 \xa0\n", "word " * 5000]
+    for i in range(0, len(texts), 500):
+        assert e(texts[i : i + 500]) == [e.whole(t) for t in texts[i : i + 500]]
+
+
 def test_reduction():
     r = random.Random(6)
     for _ in range(200):
