@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import table
+from loomwork.llm.common import arrow_map, table
 
 #: Control strings of TEMPLATE, and the character that precedes one, or itself, inside a text.
 CONTROLS, ESCAPE = ("<turn>", "<text>", "</turn>"), "\\"
@@ -470,7 +470,7 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame
         if out:
             yield _batch(out)
 
-    return ordered.mapInArrow(run, FORMATTED)
+    return arrow_map(ordered, run, FORMATTED)
 
 
 def _batch(out: list[tuple]) -> pa.RecordBatch:
@@ -518,7 +518,7 @@ def digest_formatted(formatted: DataFrame) -> DataFrame:
         if held:
             yield _digests([held])
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return arrow_map(formatted, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _digests(rows: list) -> pa.RecordBatch:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of documents whose crc32 of the id, modulo this, is 0 are held out of training.
 FOLDS = 5
+#: Rows of an Arrow batch.
+ROWS_AT_ONCE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +55,29 @@ def forget(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of ROWS_AT_ONCE rows where the session has Spark's default of 10,000, which texts of some
+    KB make large in the JVM and in Python at once. At its end a task gives free memory back, which its reused worker would keep."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidied, schema)
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size: for a scan the bytes of its files. No job runs."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import mix, parts_for, table
+from loomwork.llm.common import arrow_map, mix, parts_for, table
 
 #: Bytes of a chunk: least, normal, most. Bits that must be 0 before and after the normal size.
 LEAST, NORMAL, MOST = 32, 64, 256
@@ -119,7 +119,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                     take = pa.array(rows_)
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array(b.astype(np.int32)), "last": pa.array(np.full(len(rows_), tail, np.int32)), "doc_id": ids.take(take), "text": batch.column(1).take(take)})
 
-    dealt = rows.mapInArrow(run, "bucket int, last int, doc_id long, text string")
+    dealt = arrow_map(rows, run, "bucket int, last int, doc_id long, text string")
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "last", F.col("doc_id").asc_nulls_first(), "text")
 
 
@@ -156,7 +156,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             )
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, id_col, text_col).mapInArrow(run, schema)
+    return arrow_map(with_next(docs, id_col, text_col), run, schema)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import held_out, table
+from loomwork.llm.common import arrow_map, held_out, table
 
 #: The bounded sample: so many texts for each language, those with the least hash of the id, and so many characters of each.
 TEXTS, CHARS = 160, 1200
@@ -101,7 +101,7 @@ def identify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id",
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, sure boolean")
+    return arrow_map(rows, run, "doc_id long, lang_pred string, score double, sure boolean")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

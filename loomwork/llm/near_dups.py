@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import gram_hashes, hash_words, mix, sized, stored, table, utf8, words_of
+from loomwork.llm.common import arrow_map, gram_hashes, hash_words, mix, sized, stored, table, utf8, words_of
 from loomwork.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -140,7 +140,7 @@ class _Checker:
         the join may split them."""
         left = pairs.select("a", "b").distinct().join(self.sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
         both = left.join(self.sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
-        return stored(both.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long, sim double"), "checked")
+        return stored(arrow_map(both.select("a", "b", "x", "y"), _compare, "a long, b long, sim double"), "checked")
 
 
 def _settle(rows: pa.Table) -> pa.Table:
@@ -219,7 +219,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Other columns are left out.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = stored(rows.mapInArrow(_signatures(BANDS, ROWS), "doc_id long, digest binary, size long, keys array<long>"), "signatures")
+    marked = stored(arrow_map(rows, _signatures(BANDS, ROWS), "doc_id long, digest binary, size long, keys array<long>"), "signatures")
     nodes = marked.filter("doc_id is not null and digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "size", "keys")).alias("least"))
     nodes = stored(nodes.select("digest", F.col("least.doc_id").alias("id"), F.col("least.size").alias("size"), F.col("least.keys").alias("keys")), "nodes")
     keyed = nodes.filter("keys is not null").select("id", "size", F.explode(F.array_distinct("keys")).alias("key"))
@@ -228,7 +228,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = members.join(members.groupBy("id").agg(F.sum("n").alias("degree")), "id")
 
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = stored(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, grams binary"), "sets")
+    sets = stored(arrow_map(rows.join(wanted, "doc_id", "left_semi"), _sets, "id long, grams binary"), "sets")
     check = _Checker(sets)
     links = _union([r.filter(F.col("sim") >= SIMILAR).select("a", "b") for r in _elections(members, check)])
     classes = stored(components(links), "classes")

@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import one_thread, sized, stored, table
+from loomwork.llm.common import arrow_map, one_thread, sized, stored, table
 
 CAPACITY, END_ID = 1024, 2
 #: Pieces of one length that are numbered in one task, on average.
 NUMBERED = 200_000
 #: Parts of text whose ids a Python worker keeps: beyond so many they become the older half, which is asked until the next are as many.
-CACHED = 400_000
+CACHED = 100_000
 #: Places where a text may be cut: before a space that a letter, a digit or a visible ASCII character stands before. A space that follows
 #: white space is no such place.
 _CUT, _WHITE_BEFORE = re.compile(r"(?<=[\w!-~])(?= )"), re.compile(r" (?<=\s )")
@@ -146,7 +146,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
             cols = {c: pa.array(v, t) for (c, v), t in zip(out.items(), types, strict=True) if keep_ids or c != "ids"}
             yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECE + (", ids array<long>" if keep_ids else ""))
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, PIECE + (", ids array<long>" if keep_ids else ""))
 
 
 def reduce_and_pack(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import table
+from loomwork.llm.common import arrow_map, table
 
 PATH_DIMS, LEAF_DIMS, WORD_DIMS, NUMBERS = 48, 32, 24, 10
 DIMS = PATH_DIMS + LEAF_DIMS + WORD_DIMS + NUMBERS
@@ -497,7 +497,7 @@ def extract(pages: DataFrame, p: dict[str, np.ndarray] | None = None) -> DataFra
                 texts = main_texts(part.column(2).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_pydict({"page_id": part.column(0), "url": part.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return arrow_map(pages.select(F.col("page_id").cast("long"), "url", "html"), run, "page_id long, url string, text string, n_chars long")
 
 
 def op5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import held_out, mix, share_of, sized, table
+from loomwork.llm.common import arrow_map, held_out, mix, share_of, sized, table
 
 #: The bounded sample: so many labelled documents of each label, those with the least hash of the id; their texts are read whole.
 ROWS = 1500
 GRAMS, BITS = (3, 4, 5), 19
 STEPS, RATE, PENALTY, SMOOTH = 150, 0.3, 1e-4, 1.0
-#: Words whose scores a worker keeps.
-CACHED = 500_000
+#: Words whose scores a worker keeps: beyond so many they become the older half, which is asked until the next are as many.
+CACHED = 150_000
 _WORD = re.compile(r"\w+")
 
 
@@ -54,16 +54,20 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights.astype(np.float32), float(bias)
         self.cache: dict[str, float] = {}
+        self.older: dict[str, float] = {}
 
     def __getstate__(self):
-        return {"weights": self.weights, "bias": self.bias, "cache": {}}
+        return {"weights": self.weights, "bias": self.bias, "cache": {}, "older": {}}
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         sets = [distinct_words(t) for t in texts]
         if len(self.cache) > CACHED:
-            self.cache = {}
-        cache = self.cache
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
         new = [w for w in set().union(*sets) if w not in cache]
+        if older:
+            cache.update((w, older[w]) for w in new if w in older)
+            new = [w for w in new if w not in older]
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             word, f = word_features(part)
@@ -178,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     drawn = F.when(F.col("toxic") == 1, min(1.0, 1.2 * rows / max(1, count.get(1, 0)))).otherwise(min(1.0, 1.2 * rows / max(1, count.get(0, 0))))
     some = marked.filter(share_of("doc_id") <= drawn)  # 2.4 x rows, about
     got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    one = got.select("toxic", F.xxhash64("doc_id").alias("h"), "text").repartition(1).mapInArrow(_fitted(rows), "weights binary, bias double").collect()
+    one = arrow_map(got.select("toxic", F.xxhash64("doc_id").alias("h"), "text").repartition(1), _fitted(rows), "weights binary, bias double").collect()
     return Model(np.frombuffer(one[0]["weights"], np.float32), one[0]["bias"]) if one else fit([])
 
 
@@ -195,7 +199,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 s = shared.value.scores(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").combine_chunks(), "score": pa.array(s), "predicted": pa.array((s >= 0.5).astype(np.int32))})
 
-    return texts.mapInArrow(run, "doc_id long, score double, predicted int")
+    return arrow_map(texts, run, "doc_id long, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -208,7 +212,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             for part in sized(pa.Table.from_batches([batch]), text_col):
                 yield from part.filter(pa.array(shared.value.scores(part.column(at).to_pylist()) < 0.5)).to_batches()
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
