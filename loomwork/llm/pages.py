@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import arrow_map, table
+from loomwork.llm.common import arrow_map, sized, table
 
 PATH_DIMS, LEAF_DIMS, WORD_DIMS, NUMBERS = 48, 32, 24, 10
 DIMS = PATH_DIMS + LEAF_DIMS + WORD_DIMS + NUMBERS
@@ -29,67 +29,159 @@ HIDDEN, TRAINED, EPOCHS, BATCH, RATE = 24, 1500, 6, 32, 0.01
 AT_ONCE = 8192
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template title textarea svg iframe select option math object canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br button input".split())
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|[^<]+|<""", re.S)
-_NAMED = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Elements whose content runs to their end tag, or to the page's end without one, and is no text of the page.
+RAW = frozenset("script style textarea title iframe".split())
+#: Elements whose text is no text of the page, whatever stands in them; the loose ones end where one of the third kind starts.
+SILENT = frozenset("noscript template svg select option optgroup datalist".split())
+LOOSE = frozenset("svg select option optgroup datalist".split())
+BREAKING = frozenset("address article aside blockquote center dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big canvas cite code data dfn del em font i img ins kbd label mark math mfrac mi mn mo mrow msqrt msub msup mtext object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br button input".split())
+#: What a new element of these ends, and the elements that keep it from doing so.
+_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("optgroup", "option")}
+_BARS = ("ul", "ol", "dl", "table", "tr", "select", "datalist")
+_SIMPLE = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:\s++[^\s"'<>/=]++(?:=(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>=`]++))?+)*+)\s*+(/?)>""")
+_NAME = re.compile(r"[A-Za-z][^\s/>]*+")
+_ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)?+(\s*+=\s*+)?+")
+_UNQUOTED = re.compile(r"[^\s>]*+")
+_NAMED = re.compile(r"""(?<![^\s/"'])(?:class|id|role|itemprop)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 _PART = re.compile(r"[A-Za-z]+")
-_CLOSE = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)|\Z", re.I) for t in RAW}
+_CLOSE = {t: re.compile(rf"</{t}(?![^\s/>])[^>]*+(?:>|\Z)|\Z", re.I) for t in RAW}
+
+
+class Path:
+    """The block elements around a block: equal paths of a page are one object. total sums the features of all its elements."""
+
+    __slots__ = ("parent", "tag", "names", "below", "vector")
+
+    def __init__(self, parent, tag: str, names: tuple[str, ...]):
+        self.parent, self.tag, self.names, self.below, self.vector = parent, tag, names, {}, None
+
+    def child(self, tag: str, names: tuple[str, ...]) -> Path:
+        found = self.below.get((tag, names))
+        if found is None:
+            found = self.below[tag, names] = Path(self, tag, names)
+        return found
 
 
 class Block:
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple, text: str, linked: int):
+    def __init__(self, path: Path, text: str, linked: int):
         self.path, self.text, self.linked = path, text, linked
 
 
+class _Scanner:
+    """Tags of a page. Every character is passed over a bounded number of times: a quote that never closes, and a tag whose quotes hide
+    its end, are noticed once for the whole page, and from there on quotes mean nothing."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.closed = {q: page.rfind(q) for q in "\"'"}
+        self.quotes = True
+
+    def tag(self, at: int) -> tuple[bool, str, str, bool, int]:
+        """(it is an end tag, name, attributes, closed by a slash, where it ends) of the tag at page[at]; ends at -1 if it never does."""
+        page = self.page
+        if m := _SIMPLE.match(page, at):
+            return bool(m[1]), m[2].lower(), m[3], bool(m[4]), m.end()
+        end = page.startswith("/", at + 1)
+        name = _NAME.match(page, at + 1 + end)
+        k = name.end()
+        if at > self.last:
+            return end, "", "", False, -1
+        first = k
+        while self.quotes:
+            m = _ATTRIBUTE.match(page, k)
+            k = m.end()
+            if k >= len(page):
+                self.quotes = False  # the rest of the page is inside quotes
+                break
+            if m[2]:
+                q = page[k]
+                if q in "\"'" and self.closed[q] > k:
+                    k = page.index(q, k + 1) + 1
+                else:
+                    k = _UNQUOTED.match(page, k).end()
+            elif page[k] == ">":
+                break
+        if not self.quotes:
+            k = page.find(">", first)
+            if k < 0:
+                return end, "", "", False, -1
+        return end, name[0].lower(), page[first:k], page[k - 1] == "/", k + 1
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks in page order: references decoded, white space as single spaces, trimmed, none empty. A <br> is white
-    space. Malformed markup is read as browsers do: a block start ends an open paragraph, stray ends are passed over."""
+    space. Malformed markup is read as browsers do: a block start ends an open paragraph, stray ends are passed over. Time and memory
+    are in proportion to the page, however deep its elements and long its tags; a tag that never ends is no text, nor is what
+    stands in it."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    top = Path(None, "", ())
+    stack: list[tuple[str, Path, int]] = []  # open block elements: tag, path, links that were open outside
+    places: dict[str, list[int]] = {}  # of each tag, ascending places in the stack
     parts: list[str] = []
-    path: tuple = ()
-    links = linked = 0
+    path, scan = top, _Scanner(page)
+    links = linked = silent = 0
     at, size = 0, len(page)
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 out.append(Block(path, text, linked))
         parts, linked = [], 0
 
     def drop(i: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[i:])
-        del stack[i:]
+        nonlocal links, silent
+        while len(stack) > i:
+            tag, _, links = stack.pop()
+            places[tag].pop()
+            silent -= tag in SILENT
+
+    def last(tag: str) -> int:
+        found = places.get(tag)
+        return found[-1] if found else -1
 
     while at < size:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if not m[0].startswith(("<!", "<?")):
+        lt = page.find("<", at)
+        if lt != at:
+            text = page[at:] if lt < 0 else page[at:lt]
+            at = size if lt < 0 else lt
+        elif (c := page[at + 1 : at + 2]) in ("!", "?") and c:
+            if page.startswith("<!--", at):
+                end = at + 4 if page.startswith(">", at + 4) else page.find("-->", at + 4) + 2 if page.find("-->", at + 4) >= 0 else -1
+            else:
+                end = page.find(">", at)
+            at = size if end < 0 else end + 1
+            continue
+        elif not _NAME.match(page, at + 1 + (c == "/")):
+            text, at = "<", at + 1
+        else:
+            text = None
+        if text is not None:
+            if not silent:
                 if not parts:
-                    path = tuple(x for x in stack if x[0] not in INLINE)
-                parts.append(m[0])
+                    path = stack[-1][1] if stack else top
+                parts.append(entities.unescape(text) if "&" in text else text)
                 if links:
-                    linked += len(m[0].strip())
+                    linked += len(text.strip())
             continue
-        tag = tag.lower()
-        if m[1]:
-            if tag not in INLINE:
+        is_end, tag, attributes, slash, at = scan.tag(at)
+        if at < 0:
+            break
+        if is_end:
+            if tag in INLINE:
+                if tag == "a" and links > (stack[-1][2] if stack else 0):
+                    links -= 1
+            else:
                 flush()
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if i is not None and (tag not in INLINE or all(t in INLINE for t, _ in stack[i:])):
-                drop(i)
+                if (i := last(tag)) >= 0:
+                    drop(i)
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
+            if not slash:
                 at = _CLOSE[tag].search(page, at).end()
             continue
         if tag in VOID:
@@ -98,25 +190,26 @@ def blocks(page: str) -> list[Block]:
             elif tag not in INLINE:
                 flush()
             continue
-        if tag not in INLINE:
-            flush()
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if i is not None:
+        if tag in INLINE:
+            links += tag == "a"
+            continue
+        flush()
+        if tag in BREAKING and silent:
+            i = min((places[t][0] for t in LOOSE if places.get(t)), default=-1)
+            if i >= 0:
                 drop(i)
-            if tag in ("li", "dt", "dd", "tr", "td", "th"):
-                same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in same:
-                        drop(i)
-                        break
-                    if stack[i][0] in ("ul", "ol", "dl", "table", "tr"):
-                        break
-        elif tag == "a":
-            links += 1
-        names = tuple(w.lower() for a in _NAMED.findall(m[3]) for w in _PART.findall(" ".join(a)))[:12] if m[3] else ()
-        stack.append((tag, names))
-        if len(stack) > 200:
-            drop(100)
+        if tag not in SILENT and (i := last("p")) > max(last("noscript"), last("template")):
+            drop(i)
+        if tag in _SAME:
+            i = max(last(t) for t in _SAME[tag])
+            if i > max(last(t) for t in _BARS if t != tag):
+                drop(i)
+        names = tuple(w.lower() for a in _NAMED.findall(attributes) for w in _PART.findall(" ".join(a))) if attributes else ()
+        if slash and tag in LOOSE:
+            continue
+        stack.append((tag, (stack[-1][1] if stack else top).child(tag, names), links))
+        places.setdefault(tag, []).append(len(stack) - 1)
+        silent += tag in SILENT
     flush()
     return out
 
@@ -142,16 +235,37 @@ _WORDS = _Words()
 
 
 @functools.lru_cache(50_000)
-def _path_vector(path: tuple) -> np.ndarray:
+def _features(tag: str, names: tuple[str, ...]) -> np.ndarray:
+    v = np.zeros(PATH_DIMS, np.float32)
+    for what in {tag, *("." + n for n in names)}:
+        i, s = _place(what, PATH_DIMS)
+        v[i] += s
+    return v
+
+
+def _total(path: Path) -> np.ndarray:
+    """The sum of the features of the path's elements."""
+    todo = []
+    while path.vector is None and path.parent is not None:
+        todo.append(path)
+        path = path.parent
+    if path.vector is None:
+        path.vector = np.zeros(PATH_DIMS, np.float32)
+    for p in reversed(todo):
+        p.vector = p.parent.vector + _features(p.tag, p.names)
+    return todo[0].vector if todo else path.vector
+
+
+def _path_vector(path: Path) -> np.ndarray:
     v = np.zeros(PATH_DIMS + LEAF_DIMS, np.float32)
-    for tag, names in path:
-        for what in {tag, *("." + n for n in names)}:
-            i, s = _place(what, PATH_DIMS)
-            v[i] += s
-    for depth, (tag, names) in enumerate(reversed(path[-2:])):
-        for what in {tag, *("." + n for n in names)}:
+    v[:PATH_DIMS] = _total(path)
+    for depth in range(2):
+        if path.parent is None:
+            break
+        for what in {path.tag, *("." + n for n in path.names)}:
             i, s = _place(f"{depth}{what}", LEAF_DIMS)
             v[PATH_DIMS + i] += s
+        path = path.parent
     return np.clip(v, -3, 3)
 
 
@@ -168,11 +282,15 @@ def vectors(page: list[Block]) -> np.ndarray:
     numbers = [
         (
             min(math.log1p(len(b.text)) / 5, 2), min(math.log1p(c) / 4, 2), min(1.0, b.linked / len(b.text)), min(1.0, sum(map(b.text.count, ".!?;,")) / c),
-            b.text[-1] in ".!?:;\"”", sum(map(b.text.count, "0123456789")) / len(b.text), k / n, min(n, 100) / 100, k > 0 and page[k - 1].path == b.path, "©" in b.text,
+            b.text[-1] in ".!?:;\"”", sum(map(b.text.count, "0123456789")) / len(b.text), k / n, min(n, 100) / 100, k > 0 and page[k - 1].path is b.path, "©" in b.text,
         )
         for k, (b, c) in enumerate(zip(page, count, strict=True))
     ]
-    return np.hstack([np.array([_path_vector(b.path) for b in page]), bag, np.array(numbers, np.float32)])
+    found: dict[int, np.ndarray] = {}
+    for b in page:
+        if id(b.path) not in found:
+            found[id(b.path)] = _path_vector(b.path)
+    return np.hstack([np.array([found[id(b.path)] for b in page]), bag, np.array(numbers, np.float32)])
 
 
 # ---------------------------------------------------------------- the network
@@ -487,15 +605,15 @@ def main_texts(pages: list[str | None], p: dict[str, np.ndarray]) -> list[str]:
 
 def extract(pages: DataFrame, p: dict[str, np.ndarray] | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages (page_id, url, html). Null and empty html, and pages without main
-    text, give an empty text. Other columns are left out."""
+    text, give an empty text. Rows are read each for itself, repeated ones alike; a very long page is read whole, in time and memory in
+    proportion to it. Other columns are left out."""
     shared = pages.sparkSession.sparkContext.broadcast(p or model())
 
     def run(batches):
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for part in sized(pa.Table.from_batches([batch]), "html", 2_000_000):
                 texts = main_texts(part.column(2).to_pylist(), shared.value)
-                yield pa.RecordBatch.from_pydict({"page_id": part.column(0), "url": part.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"page_id": part.column(0).combine_chunks(), "url": part.column(1).combine_chunks(), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
     return arrow_map(pages.select(F.col("page_id").cast("long"), "url", "html"), run, "page_id long, url string, text string, n_chars long")
 

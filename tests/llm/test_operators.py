@@ -317,6 +317,68 @@ def test_pages(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_page_blocks():
+    f = lambda h: [b.text for b in pages.blocks(h)]
+    assert f("<p>x <math><mi>E</mi>=mc</math> y</p><canvas>c</canvas>") == ["x E=mc y", "c"]
+    assert f("<article><p>a</p><object data=x><p>b</p><p>c</p></article>") == ["a", "b", "c"]
+    assert f('<p title="abc>one</p><p class="x">two') == ["two"] and f('<p title="abc>one</p> more <p>two') == ["one", "more", "two"]
+    assert f("a < b <3 c &lt;p&gt; <") == ["a < b <3 c <p> <"] and f("&am<b></b>p; &amp;lt;") == ["&amp; &lt;"]
+    assert f("<datalist><option>o</datalist><p>t") == ["t"] and f("<option>o<p>t") == ["t"]
+    assert f("<select><option>a<option>b</select>z<svg><text>no</text></svg>yes") == ["z", "yes"] and f("<svg><text>no<p>yes") == ["yes"]
+    assert f("<p>a<noscript><p>no</p></noscript>b<template><div>no</template>c") == ["a", "b", "c"]
+    assert f("x<!-->y<!-- z --> w<p>q<!-- never") == ["xy w", "q"]
+    assert f("<p>1<table><tr><td>2<td>3<tr><td>4</table>5<ul><li>a<li>b<ul><li>c</ul><li>d</ul>") == ["1", "2", "3", "4", "5", "a", "b", "c", "d"]
+    many = " ".join(f"n{k}" for k in range(40))
+    deep = pages.blocks("<div>" * 500 + f'<p class="{many}">x')[0].path
+    depth = 0
+    while deep.parent:
+        depth, deep = depth + 1, deep.parent
+    assert depth == 501 and f'class="{many}"' and len(pages._NAMED.findall(f' class="{many}"')[0][0].split()) == 40
+
+
+def test_page_blocks_by_brute_force():
+    """Well-formed trees: the blocks are the runs of text between block boundaries."""
+    r = random.Random(12)
+    for _ in range(300):
+        html, want, run = [], [], []
+
+        def end(want=want, run=run):
+            if text := " ".join("".join(run).split()):
+                want.append(text)
+            run.clear()
+
+        def put(depth):
+            for _ in range(r.randint(1, 4)):
+                kind = r.random()
+                if kind < 0.5:
+                    t = r.choice(("word ", "x", " y z", "&amp;", "<!-- c -->", "&lt;b&gt;"))
+                    html.append(t)
+                    run.append({"&amp;": "&", "<!-- c -->": "", "&lt;b&gt;": "<b>"}.get(t, t))
+                elif depth < 6:
+                    tag = r.choice(("div", "section", "b", "span", "em", "blockquote"))
+                    html.append(f"<{tag}{r.choice(('', ' class=a', ' id=\"q>\"', ' title=x/y data-z'))}>")
+                    if tag not in ("b", "span", "em"):
+                        end()
+                    put(depth + 1)
+                    html.append(f"</{tag}>")
+                    if tag not in ("b", "span", "em"):
+                        end()
+
+        put(0)
+        end()
+        assert [b.text for b in pages.blocks("".join(html))] == want, "".join(html)
+
+
+def test_hostile_pages():
+    """Time in proportion to the page, whatever stands in it."""
+    import time
+
+    for h in ("<a " * 300_000 + "'", "<dd><ul>" + "<div>" * 40_000 + "<dt></dt>" * 40_000, '<p t="x>' * 100_000 + "'", "<a b=\"><a b='>" * 60_000, "<" * 1_000_000, "<!--" * 250_000, "<a" + " " * 1_000_000, "<option>x" * 100_000):
+        t = time.time()
+        pages.blocks(h)
+        assert time.time() - t < 5
+
+
 def lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
