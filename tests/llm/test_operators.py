@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from loomwork.llm import chat, decontam, fingerprints, language, line_runs, near_dups, packing, pages, passages, toxicity
@@ -268,6 +269,53 @@ def test_fingerprints(docs, none, rows):
     assert fingerprints.fingerprint_edits(none).count() == 0
 
 
+def test_chunks_by_brute_force():
+    """Chunk ends, fingerprints and likeness byte by byte."""
+    r = random.Random(17)
+    texts = ["", "é", "x" * 3000, *["".join(r.choice("ab cdé\n") for _ in range(r.randint(0, 2500))) for _ in range(40)]]
+    texts.append(texts[-1][:900] + "new" + texts[-1][900:])
+
+    def ends(raw):
+        out, start = [], 0
+        for i in range(len(raw)):
+            h = 0
+            for b in raw[max(0, i - 31) : i + 1]:
+                h = (h * 2 + int(fingerprints.GEAR[b])) % 2**32
+            n = i + 1 - start
+            if n >= 256 or n >= 64 and h < 2**27 or n >= 32 and h < 2**25:
+                start = i + 1
+                out.append(start)
+        return out + [len(raw)] * (bool(raw) and (not out or out[-1] < len(raw)))
+
+    prints = []
+    for t in texts:
+        raw = t.encode()
+        cuts = ends(raw)
+        assert fingerprints.chunk_ends(np.frombuffer(raw, np.uint8), [len(raw)]) == [cuts]
+        chunks = [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+        prints.append({(xxhash.xxh3_64_intdigest(c) >> 24, len(c)) for c in chunks})
+    got = fingerprints.fingerprints(texts)
+    assert got == ["".join(sorted(f"{d:010x}{n - 1:02x}" for d, n in p)) for p in prints]
+    for a, p in zip(got, prints):
+        for b, q in zip(got, prints):
+            want = float(p == q) if not p or not q else sum(n for _, n in p & q) / sum(n for _, n in p)
+            assert math.isclose(fingerprints.likeness(a, b), want)
+
+
+def test_fingerprints_of_one_id(spark, monkeypatch):
+    """One id, or null, with most rows is dealt over many ranges; every row has its successor."""
+    monkeypatch.setattr(fingerprints, "parts_for", lambda *a: 40)
+    rows = [(7, f"text {k} " * (k % 9)) for k in range(300)] + [(None, f"null {k}") for k in range(100)] + [(k, "z" * k) for k in range(30) if k != 7]
+    got = fingerprints.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string"))
+    h = {r["text"]: r["h"] for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "xxhash64(text) h").collect()}
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, h[x[1]]))
+    want = []
+    for (i, t), (_, n) in zip(order, [*order[1:], order[0]]):
+        half = len(t) // 2
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest()))
+    assert sorted((tuple(r[:3]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_chat(spark):
     rows = [(1, 2, "assistant", "b<turn>\\"), (1, 1, "user", "a</turn>"), (2, None, None, None), (None, 0, "assistant", "\\<text>x"), (2, 1, "assistant", ""), (2, 1, "assistant", "")]
     f = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
