@@ -11,15 +11,16 @@ import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import arrow_map, held_out, table
+from loomwork.llm.common import arrow_map, held_out, share_of, table
 
-#: The bounded sample: so many texts for each language, those with the least hash of the id, and so many characters of each.
-TEXTS, CHARS = 160, 1200
-#: Bytes of a dictionary, of a block, and zstandard's level.
-DICTIONARY, BLOCK, LEVEL = 112_000, 512, 3
+#: The bounded sample: so many rows for each language, those with the least hash of id and text, read whole; rows of more characters than
+#: LONGEST are not drawn.
+TEXTS, LONGEST = 160, 20_000
+#: Bytes of a block, and zstandard's level.
+BLOCK, LEVEL = 512, 3
 #: Bytes saved for each byte of text: below DOUBT the thorough coder decides, below MARGIN a prediction is rejected.
 DOUBT, MARGIN = 0.03, 0.01
 UNKNOWN = "und"
@@ -27,17 +28,21 @@ _LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
-def sample_texts(labelled: DataFrame, texts: int = TEXTS, chars: int = CHARS) -> dict[str, bytes]:
-    """labelled (doc_id, text, lang) -> a dictionary's content for each language; its size is bounded by texts and chars."""
-    ids = labelled.filter("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang").distinct()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ids.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= texts).select("doc_id", "lang")
-    rows = labelled.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, chars).alias("text"))
+def sample_texts(labelled: DataFrame, texts: int = TEXTS, longest: int = LONGEST) -> dict[str, bytes]:
+    """labelled (doc_id, text, lang) -> a dictionary's content for each language: the sampled rows' whole texts, so its size is bounded
+    by texts and longest. Which rows are drawn follows from a hash and each language's count, so nothing is ranked by language; equal rows count once.
+    Rows of null doc_id, lang or text teach nothing."""
+    rows = labelled.filter("doc_id is not null and lang is not null and text is not null").filter(F.length("text") <= longest)
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return {}
+    drawn = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.4 * texts / n))]), F.col("lang"))
+    some = rows.filter(share_of("doc_id", "text") <= drawn).select("lang", F.xxhash64("doc_id", "text").alias("h"), "text").distinct()
     found: dict[str, list] = {}
-    for r in rows.collect():  # texts x chars for each language at most
-        if r["text"] and _LETTER.search(r["text"]):
-            found.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    return {lang: b"".join(plain(t) for _, t in sorted(v))[-DICTIONARY:] for lang, v in sorted(found.items())}
+    for r in some.collect():  # 1.4 x texts for each language, about
+        if _LETTER.search(r["text"]):
+            found.setdefault(r["lang"], []).append((r["h"] & (1 << 64) - 1, r["text"]))
+    return {lang: b"".join(plain(t) for _, t in sorted(v)[:texts]) for lang, v in sorted(found.items())}
 
 
 class Classifier:
@@ -47,7 +52,8 @@ class Classifier:
         import zstandard as z
 
         self.langs = sorted(content)
-        thorough = z.ZstdCompressionParameters(window_log=17, chain_log=17, hash_log=17, search_log=3, min_match=3, target_length=8, strategy=z.STRATEGY_BTLAZY2, write_content_size=False)
+        log = max(17, (max(map(len, content.values()), default=1) + BLOCK).bit_length())  # the window holds the largest dictionary
+        thorough = z.ZstdCompressionParameters(window_log=log, chain_log=log, hash_log=min(log, 20), search_log=3, min_match=3, target_length=8, strategy=z.STRATEGY_BTLAZY2, write_content_size=False)
         self.quick, self.slow, self.content = [], [], [content[g] for g in self.langs]
         for lang in self.langs:
             d = z.ZstdCompressionDict(content[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
@@ -85,7 +91,8 @@ def plain(text: str) -> bytes:
 
 def identify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, sure) for each row of docs. lang_pred is und, with score 0, where the text is null or has
-    no letter. Ties go to the dictionary that holds more of the text's words, then to the language that sorts first. Only the text is read; other columns are left out."""
+    no letter. Ties go to the dictionary that holds more of the text's words, then to the language that sorts first. Only the text is read, and whole: a very long one block by block. Rows are judged each for itself,
+    repeated ones alike; other columns are left out."""
 
     def run(batches):
         classify = Classifier(content)
