@@ -122,8 +122,9 @@ def _ask(buckets: int, window: int, phrase: int):
         key = key[first]
         bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = [(b, key[order[i:j]].tobytes(), many[order[i:j]].tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+        bucket = bucket[order]
+        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() if len(bucket) else []  # only buckets that have keys
+        rows = [(int(bucket[i]), key[order[i:j]].tobytes(), many[order[i:j]].tobytes()) for i, j in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
         return pa.table(
             {
                 "bucket": pa.array([r[0] for r in rows], pa.int32()),
@@ -299,7 +300,8 @@ def drop_repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int =
 
     A word is a run of bytes other than ASCII white space. Null and empty texts have no words. Rows of a null
     doc_id stay whole and make no other row lose anything. Rows with one doc_id count as one document, so
-    they take nothing from each other. Other columns of docs are left out.
+    they take nothing from each other. A very long text is one row of one chunk, in the memory of its words. Other columns
+    of docs are left out.
     """
     chunks = parts_for(docs, CHUNK_MB, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
