@@ -233,8 +233,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = _union([r.filter(F.col("sim") >= SIMILAR).select("a", "b") for r in _elections(members, check)])
     classes = stored(components(links), "classes")
     met = _blocks(members, classes).join(sets, "id").groupBy("key", "i", "j").applyInArrow(_settle, "a long, b long")
-    classes = components(links.unionByName(stored(met, "met")))
+    joined = components(stored(met, "met")).select(F.col("id").alias("class_id"), F.col("class_id").alias("least"))  # met links classes
     of_node = nodes.select("digest", "id").join(classes, "id", "left").select("digest", F.coalesce("class_id", "id").alias("class_id"))
+    of_node = of_node.join(joined, "class_id", "left").select("digest", F.coalesce("least", "class_id").alias("class_id"))
     return marked.select("doc_id", "digest").join(of_node, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
