@@ -114,3 +114,47 @@ def node_recall_at_k(neighbors: DataFrame, truth: DataFrame, nodes: DataFrame, k
     hits = n.groupBy("src").agg(*[F.sum(F.when((F.col("r") <= k) & F.col("hit").isNotNull(), 1).otherwise(0)).alias(f"h{k}") for k in ks])
     both = years.select(F.col("id").alias("src")).join(out, "src", "left").join(hits, "src", "left")
     return both.select("src", "n_true", F.explode(F.array(*[F.struct(F.lit(k).alias("K"), F.coalesce(F.col(f"h{k}"), F.lit(0)).alias("hit_count")) for k in ks])).alias("x")).select("src", "x.K", F.col("x.hit_count").cast("long").alias("hit_count"), F.col("n_true"), (F.col("x.hit_count") / F.col("n_true")).alias("recall"))
+
+
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges (i, j, ...) with both ends among nodes (id)."""
+    n = nodes.select("id").distinct()
+    return edges.join(n.withColumnRenamed("id", "i"), "i", "left_semi").join(n.withColumnRenamed("id", "j"), "j", "left_semi")
+
+
+def nodes_of(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("i").alias("id")).unionByName(edges.select(F.col("j").alias("id"))).distinct()
+
+
+def harmonized_nodes(a: DataFrame, b: DataFrame, known: DataFrame, mode: str = "intersection") -> DataFrame:
+    """The nodes that both graphs have, or either (mode "union"), among the known ones."""
+    x, y = nodes_of(a), nodes_of(b)
+    return (x.intersect(y) if mode == "intersection" else x.unionByName(y).distinct()).join(known.select("id").distinct(), "id", "left_semi")
+
+
+def edge_xor(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(i, j, in_a): the edges that exactly one of two graphs has."""
+    x = a.select("i", "j").distinct().withColumn("in_a", F.lit(True))
+    y = b.select("i", "j").distinct().withColumn("in_b", F.lit(True))
+    j = x.join(y, ["i", "j"], "full").select("i", "j", F.coalesce("in_a", F.lit(False)).alias("in_a"), F.coalesce("in_b", F.lit(False)).alias("in_b"))
+    return j.filter("in_a <> in_b").select("i", "j", "in_a")
+
+
+def retrieval_summary(neighbors: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
+    """For each group of sources: sources, distinct neighbours, mean and median similarity."""
+    n = neighbors.join(nodes.select(F.col("id").alias("src"), *by), "src")
+    return n.groupBy(*by).agg(F.countDistinct("src").alias("n_src"), F.countDistinct("dst").alias("n_dst"), F.avg("sim").alias("mean_sim"), F.median("sim").alias("median_sim"))
+
+
+def direction_checks(oriented: DataFrame) -> DataFrame:
+    """One record of directed edges (src, dst, year_src, year_dst): quantiles of the out-degree and of the year gap, and the share of gap 0."""
+    gap = F.col("year_src") - F.col("year_dst")
+    degree = oriented.groupBy("src").agg(F.count("*").alias("d"))
+    d = degree.agg(F.count("*").alias("n_src"), *[F.percentile("d", q).alias(f"out_q{round(100 * q)}") for q in (0.5, 0.9)])
+    return oriented.agg(F.count("*").alias("n_edges"), *[F.percentile(gap, q).alias(f"gap_q{round(100 * q)}") for q in (0.25, 0.5, 0.75)], F.avg((gap == 0).cast("int")).alias("same_year")).crossJoin(d)  # one row each
+
+
+def below_out_degree(oriented: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """(id, out_degree) of the nodes with fewer than `least` outgoing edges, those without any too."""
+    d = oriented.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"))
+    return nodes.select("id").join(d, "id", "left").fillna({"out_degree": 0}).filter(F.col("out_degree") < least)

@@ -154,3 +154,46 @@ def window_metrics(edges: DataFrame, nodes: DataFrame, size: int = 5) -> DataFra
     a, b = w.select(F.col("id").alias("i"), "t_end"), w.select(F.col("id").alias("j"), "t_end")
     m = edges.join(a, "i").join(b, ["j", "t_end"]).groupBy("t_end").agg(F.count("*").alias("n_edges"))
     return n.join(m, "t_end", "left").fillna({"n_edges": 0})
+
+
+def compare_centrality(scores: DataFrame, a: str, b: str) -> DataFrame:
+    """scores (id, a, b) with the competition rank by each and their difference. Ranks come from the counts of the distinct values, whose table is
+    what one task sorts."""
+    out = scores
+    for c in (a, b):
+        n = scores.groupBy(c).agg(F.count("*").alias("n"))
+        ranks = n.select(c, (F.sum("n").over(Window.orderBy(F.col(c).desc())) - F.col("n") + 1).alias(f"rank_{c}"))
+        out = out.join(ranks, c)
+    return out.withColumn("shift", F.abs(F.col(f"rank_{a}") - F.col(f"rank_{b}")))
+
+
+def select_subgraph(edges: DataFrame, scores: DataFrame, most: int, half: str, whole: str) -> DataFrame:
+    """The edges among the `most` nodes with the largest whole + 0.5 x half, ties by id."""
+    top = scores.select("id", F.round(F.col(whole) + 0.5 * F.col(half), 9).alias("s")).orderBy(F.desc("s"), "id").limit(most).select("id")
+    return edges.join(top.withColumnRenamed("id", "i"), "i", "left_semi").join(top.withColumnRenamed("id", "j"), "j", "left_semi")
+
+
+def collapsed(nodes: DataFrame, attr: str, most: int = 15, other: str = "other") -> DataFrame:
+    """nodes whose attribute is one of the `most` frequent values (ties by value), or other."""
+    top = nodes.filter(F.col(attr).isNotNull()).groupBy(F.col(attr).cast("string").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(most).select("value", F.lit(1).alias("top"))
+    named = nodes.withColumn("value", F.col(attr).cast("string")).join(F.broadcast(top), "value", "left")  # `most` rows
+    return named.withColumn(attr, F.when(F.col("top").isNotNull(), F.col("value")).otherwise(F.lit(other))).drop("value", "top")
+
+
+def group_share(nodes: DataFrame, member: str, groups: DataFrame, by: str) -> DataFrame:
+    """For every one of groups (by) the shares of CN, US and OTHER among its nodes for which `member` holds; 0 where it has none."""
+    some = nodes.filter(member)
+    code = F.when(F.col("country").isin("CN", "US"), F.col("country")).otherwise("OTHER")
+    s = some.groupBy(by).agg(F.count("*").alias("n"), *[F.avg((code == c).cast("int")).alias(f"share_{c}") for c in ("CN", "US", "OTHER")])
+    return groups.select(by).distinct().join(s, by, "left").fillna(0)
+
+
+def layer_composition(nodes: DataFrame, window: int) -> DataFrame:
+    """(t_end, layer, label, n_CN, n_US, gap): for each year the nodes (id, year, country, label, layer) of the window of years that ends
+    there, each focal group's share of its nodes of the layer, and the gap."""
+    years = nodes.select(F.col("year").alias("t_end")).distinct()
+    w = nodes.filter(F.col("country").isin("CN", "US")).join(F.broadcast(years), (F.col("year") <= F.col("t_end")) & (F.col("year") > F.col("t_end") - window))  # a row for each year
+    n = w.groupBy("t_end", "layer", "label").agg(*[F.sum((F.col("country") == c).cast("int")).alias(f"n_{c}") for c in ("CN", "US")])
+    all_ = Window.partitionBy("t_end", "layer")
+    share = lambda c: F.coalesce(F.col(f"n_{c}") / F.nullif(F.sum(f"n_{c}").over(all_), F.lit(0)), F.lit(0.0))
+    return n.withColumn("gap", share("CN") - share("US"))

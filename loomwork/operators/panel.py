@@ -137,3 +137,43 @@ def topic_country_matrix(df: DataFrame) -> DataFrame:
 def topic_coverage(df: DataFrame) -> DataFrame:
     has = df.filter(F.col("c2").isin("CN", "US")).groupBy("topic").agg(F.max((F.col("c2") == "CN").cast("int")).alias("cn"), F.max((F.col("c2") == "US").cast("int")).alias("us"))
     return has.agg(F.sum("cn").alias("topics_CN"), F.sum("us").alias("topics_US"), F.count("*").alias("topics_union"), F.sum(F.when(F.col("us") == 0, 1).otherwise(0)).alias("only_CN"), F.sum(F.when(F.col("cn") == 0, 1).otherwise(0)).alias("only_US"))
+
+
+def yearly_country_share(df: DataFrame) -> DataFrame:
+    """Share of each topic within its country's year, over the pairs that occur."""
+    n = df.groupBy("topic", "country", "year").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.coalesce(ratio("n", F.sum("n").over(Window.partitionBy("country", "year"))), F.lit(0.0)))
+
+
+def frontier_max(shares: DataFrame) -> DataFrame:
+    """(topic, year, frontier_value): the largest share of any country."""
+    return shares.groupBy("topic", "year").agg(F.max("share").alias("frontier_value"))
+
+
+def focal_against_frontier(panel: DataFrame, country: str, tolerance: float = 1e-9) -> DataFrame:
+    """A country's delta to the frontier, and whether it is the panel's gap with the other sign, within tolerance."""
+    p = panel.filter(F.col("country") == country).withColumn("delta", F.col("share") - F.col("frontier_value"))
+    return p.select("topic", "year", "delta", (F.abs(F.col("delta") + F.col("gap_to_frontier")) <= tolerance).alias("consistent"))
+
+
+def gap_levels(rolled: DataFrame, k: int = 3) -> DataFrame:
+    """One record of a table (topic, year, delta): mean and largest absolute gap, the mean of the k topics with the largest mean absolute gap,
+    and both for the latest year."""
+    a = rolled.withColumn("a", F.abs("delta"))
+    by_topic = a.groupBy("topic").agg(F.avg("a").alias("m")).orderBy(F.desc(F.round("m", 12)), "topic").limit(k).agg(F.avg("m").alias("top_mean"))
+    last = a.join(a.agg(F.max("year").alias("year")), "year").agg(F.avg("a").alias("latest_mean"), F.max("a").alias("latest_max"))
+    return a.agg(F.avg("a").alias("mean_gap"), F.max("a").alias("max_gap")).crossJoin(by_topic).crossJoin(last)  # one row each
+
+
+def gap_suite(df: DataFrame, levels: list[str], window: int = 5, min_periods: int = 3) -> DataFrame:
+    """(level, kind, topic, year, delta): annual, rolling and cumulative gaps for each level of a hierarchy of topics."""
+    out = []
+    for level in levels:
+        at = df.select(F.col(level).alias("topic"), "year", "c2")
+        annual = yearly_topic_share(at)
+        for kind, t in (("annual", annual.select("topic", "year", "delta")), ("rolling", rolling_topic_share(at, window, min_periods).select("topic", "year", "delta")), ("cumulative", cumulative_gap(annual).select("topic", "year", F.col("cum_delta").alias("delta")))):
+            out.append(t.select(F.lit(level).alias("level"), F.lit(kind).alias("kind"), "topic", "year", "delta"))
+    whole = out[0]
+    for t in out[1:]:
+        whole = whole.unionByName(t)
+    return whole

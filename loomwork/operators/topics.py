@@ -93,3 +93,66 @@ def profiles(membership: DataFrame, least: float = 0.03, low: int = 4, high: int
     w = Window.partitionBy("id").orderBy(F.round("weight", 12).desc(), "topic")
     r = membership.withColumns({"k": F.row_number().over(w), "before": F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))})
     return r.filter((F.col("k") <= low) | (F.col("k") <= high) & (F.round("before", 9) < cover) & (F.col("weight") >= least)).select("id", "topic", "weight", "k")
+
+
+def fuzzy_rolling(shares: DataFrame, window: int = 3, min_periods: int = 2) -> DataFrame:
+    """Rolling sums of a topic's weights over its years, their shares of the year and the gap, and the gap summed up to the year."""
+    w = Window.partitionBy("topic").orderBy("year").rowsBetween(-(window - 1), 0)
+    r = shares.withColumns({**{f"roll_{c}": F.sum(f"weight_{c}").over(w) for c in ("CN", "US")}, "pos": F.row_number().over(Window.partitionBy("topic").orderBy("year"))}).filter(F.col("pos") >= min_periods)
+    y = Window.partitionBy("year")
+    r = r.withColumn("roll_delta", F.coalesce(ratio("roll_CN", F.sum("roll_CN").over(y)), F.lit(0.0)) - F.coalesce(ratio("roll_US", F.sum("roll_US").over(y)), F.lit(0.0)))
+    return r.select("topic", "year", "roll_delta", F.sum("delta").over(Window.partitionBy("topic").orderBy("year").rowsBetween(Window.unboundedPreceding, 0)).alias("cum_delta"))
+
+
+def country_boundary_gap(membership: DataFrame) -> DataFrame:
+    """For each topic the boundary measures averaged by membership within each focal group, and CN less US."""
+    j = membership.filter(F.col("country").isin("CN", "US")).join(boundary(membership), "id")
+    part = lambda c, g: ratio(F.sum(F.when(F.col("country") == g, F.col("weight") * F.col(c))), F.sum(F.when(F.col("country") == g, F.col("weight"))))
+    return j.groupBy("topic").agg(*[(part(c, "CN") - part(c, "US")).alias(f"{c}_gap") for c in ("entropy", "top_gap", "effective_topics")])
+
+
+def country_year_boundary(membership: DataFrame) -> DataFrame:
+    """Means of the boundary measures by country and year."""
+    who = membership.select("id", "country", "year").distinct()
+    return boundary(membership).join(who, "id").groupBy("country", "year").agg(*[F.avg(c).alias(c) for c in ("entropy", "effective_topics", "top_gap")])
+
+
+def composition_distance(composition: DataFrame) -> DataFrame:
+    """One record: Jensen-Shannon divergence in bits, L1 and cosine distance of two columns comp_CN and comp_US that each sum to 1."""
+    p, q = F.col("comp_CN"), F.col("comp_US")
+    m = (p + q) / 2
+    kl = lambda x: F.sum(F.when(x > 0, x * F.log2(x / m)).otherwise(0.0))
+    return composition.agg(((kl(p) + kl(q)) / 2).alias("js"), F.sum(F.abs(p - q)).alias("l1"), (1 - F.sum(p * q) / F.sqrt(F.sum(p * p) * F.sum(q * q))).alias("cosine_distance"))
+
+
+def fuzzy_cmeans(vectors: DataFrame, centers: DataFrame, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(memberships, centers) after `rounds` updates with m = 2: a center is the mean of all vectors by squared membership. centers is a
+    small table (label, centroid); each round sends one partial sum for each task, center and dimension."""
+    for _ in range(rounds):
+        w = memberships(vectors, centers).select("id", "topic", (F.col("weight") ** 2).alias("u"))
+        x = w.join(vectors.select("id", F.posexplode("embedding").alias("place", "x")), "id")
+        sums = x.groupBy("topic", "place").agg((F.sum(F.col("u") * F.col("x").cast("double")) / F.sum("u")).alias("x"))
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda s: s["x"])
+        centers = sums.groupBy(F.col("topic").alias("label")).agg(ordered.alias("centroid"))
+    return memberships(vectors, centers), centers
+
+
+def partition_coefficient(membership: DataFrame) -> DataFrame:
+    """(fpc): the mean over documents of the sum of squared memberships."""
+    return membership.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("s")).agg(F.avg("s").alias("fpc"))
+
+
+def ngrams(docs: DataFrame, topic: str, text: str = "text", stop: tuple = (), most: int = 20_000) -> DataFrame:
+    """(topic, term, n) of the words and pairs of neighbouring words, without stop words, of the `most` terms that occur most often in
+    all; ties by term. Pairs are of the words that are left."""
+    kept = F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z]+", " "), " "), lambda w: (F.length(w) >= 2) & ~w.isin(*stop) if stop else F.length(w) >= 2)
+    d = docs.select(F.col(topic).alias("topic"), kept.alias("w")).filter(F.size("w") > 0)
+    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    n = d.select("topic", F.explode(F.concat("w", pairs)).alias("term")).groupBy("topic", "term").agg(F.count("*").alias("n"))
+    top = n.groupBy("term").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "term").limit(most)
+    return n.join(top.select("term"), "term")
+
+
+def weighted_terms(terms: DataFrame, membership: DataFrame) -> DataFrame:
+    """(topic, term, weight): the sum over documents of membership times count, from terms (id, term, n)."""
+    return terms.join(membership.select("id", "topic", F.col("weight").alias("u")), "id").groupBy("topic", "term").agg(F.sum(F.col("u") * F.col("n")).alias("weight"))

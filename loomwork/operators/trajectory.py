@@ -146,6 +146,8 @@ def pairwise(units: DataFrame, mode: str = "dtw") -> DataFrame:
 
 def linkage(d: np.ndarray, method: str = "average") -> list[tuple[int, int, float, int]]:
     """Agglomerative merges (left, right, height, size) of a distance matrix by the Lance-Williams rule; new nodes are n, n + 1, ..."""
+    if method not in ("single", "complete", "average", "ward"):
+        raise ValueError(f"unknown linkage {method!r}")
     n = len(d)
     d = d.astype(float).copy()
     np.fill_diagonal(d, np.inf)
@@ -154,7 +156,11 @@ def linkage(d: np.ndarray, method: str = "average") -> list[tuple[int, int, floa
         i, j = divmod(int(np.argmin(d)), n)
         i, j = min(i, j), max(i, j)
         h, ni, nj = d[i, j], size[i], size[j]
-        row = {"single": np.minimum(d[i], d[j]), "complete": np.maximum(d[i], d[j])}.get(method, (ni * d[i] + nj * d[j]) / (ni + nj))
+        if method == "ward":  # of distances, not their squares; right for Euclidean ones
+            with np.errstate(invalid="ignore"):
+                row = np.sqrt(((ni + size) * d[i] ** 2 + (nj + size) * d[j] ** 2 - size * h * h) / (ni + nj + size))
+        else:
+            row = {"single": np.minimum(d[i], d[j]), "complete": np.maximum(d[i], d[j]), "average": (ni * d[i] + nj * d[j]) / (ni + nj)}[method]
         row[~np.isfinite(d[i]) | ~np.isfinite(d[j])] = np.inf
         out.append((min(name[i], name[j]), max(name[i], name[j]), float(h), int(ni + nj)))
         d[i], d[:, i] = row, row
@@ -206,4 +212,5 @@ def agglomerative_sweep(distances: DataFrame, ks: list[int], method: str = "aver
 
 
 def best_k(sweep: DataFrame) -> DataFrame:
-    return sweep.orderBy(F.desc("silhouette"), "k").limit(1)
+    """The row with the least Davies-Bouldin index where the sweep has one, then the largest silhouette, then the least k."""
+    return sweep.orderBy(*[F.asc_nulls_last("davies_bouldin")] * ("davies_bouldin" in sweep.columns), F.desc_nulls_last("silhouette"), "k").limit(1)

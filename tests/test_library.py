@@ -3,9 +3,11 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from loomwork.operators import divergence, edges, graph, knn, panel, resample, trajectory, trend
+from loomwork.operators import divergence, edges, graph, knn, panel, resample, tables, trajectory, trend
+from loomwork.sources import sinks
 from loomwork.sources.papers import clean_papers, country_exact, first_filled
 
 
@@ -101,3 +103,64 @@ def test_matched_negatives(spark):
     few = spark.createDataFrame(neg[:3], cols)
     assert resample.matched_negatives(pos, few, ["pair", "gap"], ["src", "dst"]).count() == 3
     assert resample.matched_negatives(pos.limit(0), few, ["pair", "gap"], ["src", "dst"]).count() == 0
+
+
+def test_ward():
+    """Each merge joins the two clusters whose union adds least to the sum of squares; its height is the root of twice that."""
+    x = np.random.default_rng(3).standard_normal((14, 3))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    clusters = {i: [i] for i in range(14)}
+    spread = lambda m: ((x[m] - x[m].mean(axis=0)) ** 2).sum()
+    for step, (a, b, height, size) in enumerate(trajectory.linkage(d, "ward")):
+        cost = {(p, q): spread(clusters[p] + clusters[q]) - spread(clusters[p]) - spread(clusters[q]) for p in clusters for q in clusters if p < q}
+        assert math.isclose(cost[a, b], min(cost.values()), abs_tol=1e-9) and math.isclose(height, math.sqrt(2 * cost[a, b]), rel_tol=1e-6)
+        clusters[14 + step] = clusters.pop(a) + clusters.pop(b)
+        assert len(clusters[14 + step]) == size
+    assert trajectory.linkage(d, "ward") != trajectory.linkage(d, "average")
+    with pytest.raises(ValueError):
+        trajectory.linkage(d, "wards")
+
+
+def test_best_k(spark):
+    rows = [(2, 0.5, 1.0), (3, 0.7, 1.0), (4, 0.7, 1.0), (5, 0.9, 2.0), (6, None, None)]
+    assert trajectory.best_k(spark.createDataFrame(rows, "k int, silhouette double, davies_bouldin double")).first()["k"] == 3
+    assert trajectory.best_k(spark.createDataFrame([r[:2] for r in rows], "k int, silhouette double")).first()["k"] == 5
+
+
+def test_many_to_one(spark):
+    left, right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, x string"), spark.createDataFrame([(1, 10), (3, 30)], "k int, y int")
+    assert {(r["x"], r["y"]) for r in tables.join_many_to_one(left, right, ["k"]).collect()} == {("a", 10), ("b", 10), ("c", None)}
+    with pytest.raises(Exception, match="not unique"):
+        tables.join_many_to_one(left, right.unionByName(right), ["k"]).collect()
+
+
+def test_tables(spark):
+    df = spark.createDataFrame([(k, k % 3) for k in range(50)], "k int, g int")
+    assert [r["k"] for r in tables.numbered(df, F.col("g"), ["k"]).orderBy("number").collect()] == sorted(range(50), key=lambda k: (k % 3, k))
+    assert tables.infer_columns(["Source", "B"], {"src": ["src", "source"], "dst": ["dst"]}) == {"src": "Source", "dst": None}
+    said = spark.createDataFrame([('{"a": 1}',), ('x {"a": 2} y',), ("none",), (None,), ("{bad}",)], "t string")
+    assert [r[0] for r in said.select(tables.json_object(F.col("t"), "a int")["a"]).collect()] == [1, 2, None, None, None]
+    assert [r["s"] for r in tables.standardized(spark.createDataFrame([(1.0,), (1.0,)], "s double"), ["s"]).collect()] == [0.0, 0.0]
+
+
+def test_sinks(spark, tmp_path):
+    top = f"file://{tmp_path}"
+    df = spark.createDataFrame([(1, 'a "quoted", text', 0.0), (2, "line\nbreak", 2.5)], "id int, t string, v double")
+    sinks.write_csv(df, f"{top}/c")
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{top}/c")
+    assert {(r["id"], r["t"]) for r in back.collect()} == {("1", 'a "quoted", text'), ("2", "line\nbreak")}
+    sinks.write_sparse(df, f"{top}/s", "id", "t", "v")
+    assert [tuple(r) for r in spark.read.parquet(f"{top}/s").collect()] == [(2, "line\nbreak", 2.5)]
+    sinks.write_json(spark, {"a": np.int64(3), "b": float("nan"), "c": np.array([1.5]), "d": {"é": {1}}}, f"{top}/r.json")
+    assert sinks.read_json(spark, f"{top}/r.json") == {"a": 3, "b": None, "c": [1.5], "d": {"é": [1]}}
+    assert '"id":1' in sinks.json_rows(df).collect()[0]["json"]
+    made = []
+    build = lambda: made.append(1) or df
+    with pytest.raises(FileNotFoundError):
+        sinks.load_or_build(spark, f"{top}/p", build, "read")
+    assert [sinks.load_or_build(spark, f"{top}/p", build, m).count() for m in ("auto", "auto", "read", "rebuild")] == [2] * 4 and len(made) == 2
+    sinks.write_manifest(spark, top, "one", "none", {"p": f"{top}/p"}, k=3)
+    assert sinks.read_manifest(spark, top, "one")["p"].count() == 2
+    sinks.write_manifest(spark, top, "two", "none", {"q": f"{top}/missing"})
+    with pytest.raises(FileNotFoundError):
+        sinks.read_manifest(spark, top, "two")

@@ -5,6 +5,7 @@ import math
 import pytest
 
 import __spark_entry__ as entry
+from loomwork.plans import further  # noqa: F401
 from loomwork.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
