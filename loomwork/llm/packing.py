@@ -24,7 +24,7 @@ CAPACITY, END_ID = 1024, 2
 #: Pieces of one length that are numbered in one task, on average.
 NUMBERED = 200_000
 #: Parts of text whose ids a Python worker keeps: beyond so many they become the older half, which is asked until the next are as many.
-CACHED = 100_000
+CACHED = 200_000
 #: Places where a text may be cut: before a space that a letter, a digit or a visible ASCII character stands before. A space that follows
 #: white space is no such place.
 _CUT, _WHITE_BEFORE = re.compile(r"(?<=[\w!-~])(?= )"), re.compile(r" (?<=\s )")
@@ -76,18 +76,21 @@ class _Encoder:
         if len(self.known) > CACHED:
             self.known, self.older = {}, self.known
         known = self.known
-        self._learn([u for u in dict.fromkeys(u for units in split if units for u in units) if u not in known])
-        return [self.whole(t) if units is None else b"".join([known[u] for u in units]) for t, units in zip(texts, split, strict=True)]
+        self._learn(set().union(*filter(None, split)).difference(known))
+        ids = known.__getitem__
+        return [self.whole(t) if units is None else b"".join(map(ids, units)) for t, units in zip(texts, split, strict=True)]
 
-    def _learn(self, units: list[str]) -> None:
+    def _learn(self, new: set[str]) -> None:
         known, older = self.known, self.older
         if older:
-            known.update((u, older[u]) for u in units if u in older)
-            units = [u for u in units if u not in older]
+            again = new.intersection(older)
+            known.update(zip(again, map(older.__getitem__, again), strict=True))
+            new -= again
         if self.plain:
-            plain = self.plain
-            known.update((u, array("I", plain(u)).tobytes()) for u in units if _PLAIN.fullmatch(u))
-            units = [u for u in units if u not in known]
+            common = [u for u in new if _PLAIN.fullmatch(u)]
+            known.update((u, array("I", ids).tobytes()) for u, ids in zip(common, map(self.plain, common), strict=True))
+            new.difference_update(common)
+        units = list(new)
         # text on either side of an added token is encoded apart from the other, so one stands between the parts
         for i in range(0, len(units), 20_000):
             some = units[i : i + 20_000]
@@ -112,7 +115,7 @@ def _plain(spec: dict, added: list[str]):
     if [vocab.get(m.replace(" ", "", 1)) for m in merged] != list(range(256, 256 + len(merged))) or len(vocab) != 256 + len(merged):
         return None
     pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={bytes(back[c] for c in k): v for k, v in vocab.items()}, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={bytes(back[c] for c in k): v for k, v in vocab.items()}, special_tokens={})._core_bpe.encode_ordinary
 
 
 _ENCODERS: dict[str, _Encoder] = {}
