@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from loomwork.llm import decontam, line_runs, near_dups, packing, toxicity
 from loomwork.llm.common import forget, shared_path, table
 
-#: No stage but line dedup can be put in SQL; tests/llm/test_pipeline.py only holds run()'s ids to those of
-#: the same STAGES one by one, and its sequences to their length; the stages' decisions are not held to brute force there.
+#: No stage but line dedup can be put in SQL; tests/llm/test_pipeline.py holds the decisions of every stage to a plain-Python version, on what
+#: the stage before kept.
 ORACLE_SQL = None
 
 
