@@ -14,20 +14,22 @@ def _with_least(pairs: DataFrame) -> DataFrame:
     return pairs.join(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "u")
 
 
+def _pairs(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(u, v) for each row and each named pair of its columns, without reading rows once for each pair."""
+    return rows.select(F.inline(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs))))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, class_id) of every node of edges (a, b): class_id is the least id that links reach. Loops are ignored."""
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges = stored(edges, "edges")
     before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = _with_least(large)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = stored(small.filter("u <> v").distinct(), "stars")
+    while True:  # each half of a round is written, so a plan has one join, however many rounds there are
+        both = _pairs(edges, ("u", "v"), ("v", "u"))
+        large = stored(_with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        edges = stored(_pairs(_with_least(large), ("v", "m"), ("u", "m")).filter("u <> v").distinct(), "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    roots = edges.select(F.col("v").alias("id"), F.col("v").alias("class_id")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("class_id")).unionByName(roots)
+    return _pairs(edges, ("u", "v"), ("v", "v")).distinct().select(F.col("u").alias("id"), F.col("v").alias("class_id"))

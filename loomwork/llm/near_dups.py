@@ -182,20 +182,21 @@ def _elections(members: DataFrame, check: _Checker) -> list[DataFrame]:
     """ROUNDS rounds in each bucket of members (key, id, degree): checked (key, a, b, sim). Who fails the first leader
     elects another."""
     rounds, left = [], members
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS):  # whatever is used twice is written, so that no plan holds those before it
         heads = left.groupBy("key").agg(F.max(F.struct("degree", "id")).alias("top"), F.count("*").alias("n")).filter("n > 1")
         asked = left.join(heads.select("key", F.col("top.id").alias("a")), "key").filter("id <> a").select("key", "a", F.col("id").alias("b"))
+        asked = stored(asked, "asked")
         done = stored(asked.join(check(asked), ["a", "b"]).select("key", "a", "b", "sim"), "round")
         rounds.append(done)
         failed = done.filter(F.col("sim") < SIMILAR).select("key", F.col("b").alias("id"))
-        left = members.join(failed, ["key", "id"])
+        left = stored(members.join(failed, ["key", "id"]), "left") if len(rounds) < ROUNDS else None
     return rounds
 
 
 def _blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Blocks (key, i, j, id, c, rest) in which all pairs of a bucket meet that are of different classes c. Buckets of
     one class have none; of buckets with the same nodes one is taken."""
-    named = members.join(classes, "id", "left").select("key", "id", "size", F.coalesce("class_id", "id").alias("c"))
+    named = stored(members.join(classes, "id", "left").select("key", "id", "size", F.coalesce("class_id", "id").alias("c")), "named")
     parts = named.groupBy("key", "c").agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     buckets = parts.groupBy("key").agg(
         F.count("*").alias("classes"), F.max(F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")
@@ -225,7 +226,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = nodes.filter("keys is not null").select("id", "size", F.explode(F.array_distinct("keys")).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(keyed.join(shared, "key"), "members")
-    members = members.join(members.groupBy("id").agg(F.sum("n").alias("degree")), "id")
+    members = stored(members.select("id", "size", "key").join(members.groupBy("id").agg(F.sum("n").alias("degree")), "id"), "degrees")
 
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     sets = stored(arrow_map(rows.join(wanted, "doc_id", "left_semi"), _sets, "id long, grams binary"), "sets")
