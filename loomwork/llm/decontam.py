@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are cut into blocks of 24 words; a passage is two neighbouring blocks, so any 24 words in a row lie in one.
-Document frequencies are counted over all blocks. A distributed randomised SVD of TF-IDF passages (a bounded sample,
-and every benchmark piece with extra weight) gives the latent space. Each passage of each document is projected, and
+Document frequencies are counted over all blocks. A distributed randomised SVD of TF-IDF rows (every block of every
+document, and every benchmark piece with extra weight) gives the latent space. Each passage of each document is projected, and
 its cosine to every benchmark piece's latent reconstruction finds candidates. The space keeps less of a piece the more
 pieces it serves, so an index of each item's rarest words finds beside them every text that holds enough of its words.
 A longest common subsequence over words and a check of the item's answer (its last sentence) confirm. Everything about a document happens in
@@ -20,14 +20,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import arrow_map, give_back, hash_words, mix, sized, stored, table, utf8, words_of
+from loomwork.llm.common import arrow_map, give_back, hash_words, mix, sized, table, utf8, words_of
 
 BLOCK = 24
 BITS, RANK = 15, 128
 #: Features in more than this share of the blocks say nothing.
 COMMON = 0.1
-#: The bounded sample that the latent space is fitted on, and the weight of a benchmark piece's row in it.
-SAMPLE, EXTRA = 8192, 4.0
+#: In the fit the documents' blocks weigh as much as this many rows together, dealt evenly to 2**SHARES classes of their hash and there to
+#: every block (so copies of one block weigh no more than its class), and a benchmark piece as much as EXTRA rows.
+WEIGHT, SHARES, EXTRA = 8192, 16, 16.0
+#: Tasks that sum the documents' rows at most (each sends 2**BITS x RANK numbers on), and the slices of these sums.
+TASKS, SLICES = 128, 64
 #: Pieces of benchmark items that are searched at a time, about; each further so many cost one more pass over the documents.
 PIECES = 16_384
 COSINE = 0.16
@@ -77,94 +80,100 @@ def _distinct(f: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _sums(values: np.ndarray, rows: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
-    """For each of n blocks the sum of its rows of values; block ascends, and a block has BLOCK rows at most."""
-    out = np.zeros((n, values.shape[1]), np.float32)
-    rank = np.arange(len(block)) - np.searchsorted(block, block)
-    for j in range(int(rank.max(initial=-1)) + 1):
-        here = np.flatnonzero(rank == j)
-        out[block[here]] += values[rows[here]]
+    """For each of n blocks the sum of its rows of values; block ascends. Some blocks at a time, the largest first, so that what is
+    added to stays in the processor's cache."""
+    out = np.empty((n, values.shape[1]), np.float32)
+    count = np.bincount(block, minlength=n)
+    begin = np.cumsum(count) - count
+    there = np.empty((min(n, 1024), values.shape[1]), np.float32)
+    for i in range(0, n, 1024):
+        order = np.argsort(-count[i : i + 1024], kind="stable")
+        size, at = count[i : i + 1024][order], begin[i : i + 1024][order]
+        some = np.zeros((len(size), values.shape[1]), np.float32)
+        for j, m in enumerate(np.searchsorted(-size, -np.arange(size[0])).tolist()):
+            some[:m] += np.take(values, rows[at[:m] + j], axis=0, out=there[:m], mode="clip")
+        out[i + order] = some
     return out
 
 
+def _share(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The class of each block by its words' hashes; equal blocks are of one class."""
+    return (mix(np.add.reduceat(h, begin)) >> np.uint64(64 - SHARES)).astype(np.int64)
+
+
 def _count(batches):
-    counts, n = np.zeros(1 << BITS, np.int64), 0
+    counts, shares, n = np.zeros(1 << BITS, np.int64), np.zeros(1 << SHARES, np.int64), 0
     for batch in batches:
         for part in sized(pa.Table.from_batches([batch]), "text"):
             raw, starts, stops, first = _tokens(part.column("text"))
             if not len(starts):
                 continue
-            _, f = _features(raw, starts, stops)
+            h, f = _features(raw, starts, stops)
             begin, _ = _blocks(first)
             counts += np.bincount(_distinct(f, begin)[1], minlength=1 << BITS)
+            shares += np.bincount(_share(h, begin), minlength=1 << SHARES)
             n += len(begin)
-    here = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_pydict({"feature": pa.array(np.append(here, -1)), "n": pa.array(np.append(counts[here], n))})
-
-
-def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """idf of each feature over the blocks of all docs (text); 0 for those in more than COMMON of them."""
-    rows = arrow_map(docs.select("text"), _count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # 2**BITS rows at most
-    n = sum(r["n"] for r in rows if r["feature"] < 0)
-    df = np.zeros(1 << BITS)
-    for r in rows:
-        if r["feature"] >= 0:
-            df[r["feature"]] = r["n"]
-    idf = np.log((n + 1) / (df + 1)) + 1e-6
-    idf[df > max(COMMON * n, 1)] = 0
-    return idf.astype(np.float32)
+    all_ = np.concatenate([counts, shares, [n]])
+    here = np.flatnonzero(all_)
+    yield pa.RecordBatch.from_pydict({"k": pa.array(here), "n": pa.array(all_[here])})
 
 
-def _sample(idf_shared, modulus: int):
-    """Passages whose hash falls on 0: their features and normalised weights."""
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Over the blocks of all docs (text): idf of each feature, 0 for those in more than COMMON of them, and the weight of a block of each class."""
+    rows = arrow_map(docs.select("text").coalesce(TASKS), _count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # 2**BITS + 2**SHARES + 1 rows at most
+    counts = np.zeros((1 << BITS) + (1 << SHARES) + 1)
+    counts[rows.column("k").to_numpy()] = rows.column("n").to_numpy()
+    df, shares, n = counts[: 1 << BITS], counts[1 << BITS : -1], counts[-1]
+    idf = np.log((n + 1) / (df + 1)) + 1e-6
+    idf[df > max(COMMON * n, 1)] = 0
+    there = np.count_nonzero(shares)
+    weight = min(1, WEIGHT / max(there, 1)) / np.maximum(shares, 1)
+    return idf.astype(np.float32), weight.astype(np.float32)
+
+
+def _add_products(z: np.ndarray, q: np.ndarray, idf: np.ndarray, block: np.ndarray, f: np.ndarray, weight: np.ndarray) -> None:
+    """To z is added A'Aq, less a factor of idf for z's rows, which q's have in them: A's rows are the blocks of (block, feature), each of length
+    1 times the root of its weight."""
+    here = idf[f] > 0
+    block, f = block[here], f[here]
+    if not len(f):
+        return
+    y = _sums(q, f, block, len(weight))
+    y *= (weight / np.maximum(np.bincount(block, idf[f].astype(np.float64) ** 2, len(weight)), 1e-12)).astype(np.float32)[:, None]
+    order = np.argsort(f.astype(np.uint16), kind="stable")
+    f, rows = f[order], block[order]
+    while True:  # sums of BLOCK rows of a feature, then of so many of these
+        new = (np.arange(len(f)) - np.searchsorted(f, f)) % BLOCK == 0
+        y = _sums(y, rows, np.cumsum(new) - 1, np.count_nonzero(new))
+        f, rows = f[new], np.arange(len(y))
+        if (f[1:] != f[:-1]).all():
+            break
+    z[f] += y
+
+
+def _gram(idf_shared, weight_shared, q_shared):
+    """A'Aq of the partition's blocks, in slices of features."""
 
     def run(batches):
-        idf = idf_shared.value
+        idf, weight, q = idf_shared.value, weight_shared.value, q_shared.value
+        z = np.zeros_like(q)
         for batch in batches:
-            for part in sized(pa.Table.from_batches([batch]), "text"):
+            for part in sized(pa.Table.from_batches([batch]), "text", 2_000_000):
                 raw, starts, stops, first = _tokens(part.column("text"))
+                if not len(starts):
+                    continue
                 h, f = _features(raw, starts, stops)
                 begin, _ = _blocks(first)
-                if not len(begin):
-                    continue
-                pick = np.flatnonzero(mix(np.add.reduceat(h, begin)) % np.uint64(modulus) == 0)
-                ends = np.append(begin, len(f))[1:]
-                rows = [np.unique(f[a:b]) for a, b in zip(begin[pick].tolist(), ends[pick].tolist(), strict=True)]
-                rows = [r[idf[r] > 0] for r in rows]
-                h = np.add.reduceat(h, begin)[pick].view(np.int64).tolist()
-                found = [(k, r.astype(np.int32).tobytes()) for k, r in zip(h, rows, strict=True) if len(r)]
-                yield pa.RecordBatch.from_pydict({"h": pa.array([x[0] for x in found], pa.int64()), "f": pa.array([x[1] for x in found], pa.binary()), "scale": pa.array([1.0] * len(found), pa.float64())})
-
-    return run
-
-
-def _gram(idf_shared, q_shared):
-    """A'AQ of the partition's rows, in slices of features."""
-
-    def run(batches):
-        idf, q = idf_shared.value, q_shared.value
-        out = np.zeros_like(q)
-        for batch in batches:
-            rows = [np.frombuffer(x, np.int32) for x in batch.column("f").to_pylist()]
-            if not rows:
-                continue
-            size = np.array([len(r) for r in rows])
-            f = np.concatenate(rows)
-            begin = np.append(0, np.cumsum(size)[:-1])
-            w = idf[f]
-            w = w / np.repeat(np.sqrt(np.add.reduceat(w * w, begin)), size) * np.repeat(batch.column("scale").to_numpy(), size)
-            w = w.astype(np.float32)
-            y = np.add.reduceat(q[f] * w[:, None], begin)
-            order = np.argsort(f, kind="stable")
-            new = np.flatnonzero(np.append(True, np.diff(f[order]) != 0))
-            out[f[order][new]] += np.add.reduceat((np.repeat(y, size, axis=0) * w[:, None])[order], new)
-        for i, part in enumerate(np.array_split(out, 32)):
+                _add_products(z, q, idf, *_distinct(f, begin), weight[_share(h, begin)])
+        z *= idf[:, None]
+        for i, part in enumerate(np.array_split(z, SLICES)):
             yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "sums": pa.array([part.tobytes()], pa.binary())})
 
     return run
 
 
 def _total(rows: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in rows.column("sums").to_pylist())
+    total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in rows.column("sums"))
     return pa.table({"slice": rows.column("slice").slice(0, 1), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
@@ -182,28 +191,55 @@ def _orthonormal(z: np.ndarray) -> None:
         _turned(z, (turn * scale).astype(np.float32))
 
 
-def latent_space(rows: DataFrame, idf_shared, rank: int = RANK) -> np.ndarray:
-    """The leading right singular vectors (features x rank) of the rows' TF-IDF matrix: a random start, then two passes of
-    A'A over the partitions, each of whose sums is features x rank in size whatever the number of rows."""
-    context = rows.sparkSession.sparkContext
-    q = np.random.default_rng(7).standard_normal((1 << BITS, rank), np.float32)
-    for last in (False, True):
-        shared = context.broadcast(q)
-        z = np.zeros_like(q)
-        sums = arrow_map(rows, _gram(idf_shared, shared), "slice int, sums binary").groupBy("slice").applyInArrow(_total, "slice int, sums binary").collect()
-        for r, part in zip(sorted(sums, key=lambda r: r["slice"]), np.array_split(z, 32), strict=True):
-            part[:] = np.frombuffer(r["sums"], np.float32).reshape(part.shape)
-        del sums
-        shared.destroy()
-        if last:
-            _, turn = np.linalg.eigh(q.T @ z)
-            _turned(q, np.ascontiguousarray(turn[:, ::-1], np.float32))
-            return q
-        del q
-        _orthonormal(z)
-        q = z
-        give_back()
-    raise AssertionError
+def _start() -> np.ndarray:
+    return np.random.default_rng(7).standard_normal((1 << BITS, RANK), np.float32)
+
+
+def products(docs: DataFrame, idf_shared, weight: np.ndarray) -> np.ndarray:
+    """A'A times a random start (features x RANK) over every block of docs (text): one pass, and each task's sums are features x RANK in
+    size whatever the number of blocks."""
+    context = docs.sparkSession.sparkContext
+    q = _start()
+    q *= idf_shared.value[:, None]
+    weights, shared = context.broadcast(weight), context.broadcast(q)
+    z = np.zeros_like(q)
+    del q
+    rows = arrow_map(docs.select("text").coalesce(TASKS), _gram(idf_shared, weights, shared), "slice int, sums binary")
+    sums = rows.groupBy("slice").applyInArrow(_total, "slice int, sums binary").collect()
+    slices = np.array_split(z, SLICES)
+    for r in sums:
+        slices[r["slice"]][:] = np.frombuffer(r["sums"], np.float32).reshape(slices[r["slice"]].shape)
+    del sums
+    shared.destroy()
+    weights.destroy()
+    give_back()
+    return z
+
+
+def latent_space(z: np.ndarray, pieces: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """The leading right singular vectors (features x RANK) of the documents' rows, whose products are z, and the pieces' (distinct features):
+    the products' range, turned by the eigenvectors of A'A's Nystrom approximation in it."""
+    z, more, q = z.copy(), np.zeros_like(z), _start()
+    q *= idf[:, None]
+    for i in range(0, len(pieces), 4096):
+        some = pieces[i : i + 4096]
+        _add_products(more, q, idf, np.repeat(np.arange(len(some)), [len(f) for f in some]), np.concatenate(some), np.full(len(some), EXTRA, np.float32))
+    more *= idf[:, None]
+    z += more
+    del more, q
+    inner = _inner(_start(), z)
+    q = z.copy()
+    _orthonormal(q)
+    small = _inner(q, z)
+    _, turn = np.linalg.eigh(small @ np.linalg.pinv((inner + inner.T) / 2, 1e-6, hermitian=True) @ small.T)
+    _turned(q, np.ascontiguousarray(turn[:, ::-1], np.float32))
+    del z
+    give_back()
+    return q
+
+
+def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return sum(a[i : i + 2048].astype(np.float64).T @ b[i : i + 2048] for i in range(0, len(a), 2048))
 
 
 def plain_words(text: str) -> list[str]:
@@ -421,12 +457,9 @@ class Searcher:
 def searchers(docs: DataFrame, benchmark: DataFrame):
     """A Searcher for each block of benchmark's items (item_id, text) with about PIECES pieces, fitted on docs (text). Items without words are left out."""
     spark = docs.sparkSession
-    idf = document_frequencies(docs)
+    idf, weight = document_frequencies(docs)
     shared = spark.sparkContext.broadcast(idf)
-    total = docs.select(F.sum(F.length("text") / 150 + 1)).first()[0] or 0  # blocks of 24 words, about
-    sample = arrow_map(docs.select("text"), _sample(shared, max(1, round(float(total) / SAMPLE))), "h long, f binary, scale double")
-    # a passage that comes again and again counts once, so about SAMPLE rows at most are left, always the same
-    sample = stored(sample.groupBy("h").agg(F.min("f").alias("f"), F.min("scale").alias("scale")).select("f", "scale").repartition(8), "passages")
+    sums = products(docs, shared, weight)
     n = benchmark.select(F.sum(F.size(F.split("text", r"\s+")) / BLOCK + 1)).first()[0] or 0
     blocks = max(1, math.ceil(n / PIECES))
     for k in range(blocks):
@@ -435,10 +468,8 @@ def searchers(docs: DataFrame, benchmark: DataFrame):
         items = [i for i in (Item(r["item_id"], r["text"]) for r in sorted(rows)) if i.words]
         if not items:
             continue
-        feats = [np.unique(_feature(p)).astype(np.int32) for i in items for p in i.pieces()]
-        feats = [f[idf[f] > 0] for f in feats]
-        more = spark.createDataFrame([(bytearray(f.tobytes()), EXTRA) for f in feats if len(f)] or [(bytearray(), 1.0)], "f binary, scale double").filter(F.length("f") > 0)
-        found = Searcher(idf, latent_space(sample.unionByName(more).repartition(8), shared), items)
+        feats = [np.unique(_feature(p)) for i in items for p in i.pieces()]
+        found = Searcher(idf, latent_space(sums, feats, idf), items)
         give_back()
         yield found
 

@@ -477,6 +477,37 @@ def test_decontam_of_a_large_benchmark(spark):
     assert got == {(k, k * 12) for k in range(200)} | {(k, k) for k in range(200, 260)}
 
 
+def test_latent_space_of_every_block(spark):
+    """The fit holds all blocks, more than 8192 of them, and copies of one block count no more than its class."""
+    r = np.random.default_rng(4)
+    vocabulary = np.array([f"w{i}" for i in range(250)])
+    share = 1 / np.arange(8, 258)
+    texts = [" ".join(vocabulary[r.choice(250, 24, p=share / share.sum())]) for _ in range(14_000)]
+    texts += [texts[5]] * 600
+    items = [(k, " ".join(vocabulary[r.choice(250, 20)])) for k in range(3)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    searcher = next(decontam.searchers(df, spark.createDataFrame(items, "item_id long, text string")))
+
+    idf = searcher.idf
+    of = [np.unique(decontam._feature(decontam._hashes(t))) for t in texts + [t for _, t in items]]
+    used = np.unique(np.concatenate(of))
+    used = used[idf[used] > 0]
+    a = np.zeros((len(of), len(used)))
+    for k, f in enumerate(of):
+        a[k, np.searchsorted(used, f[idf[f] > 0])] = idf[f[idf[f] > 0]]
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    kind = [int(decontam.mix(np.array(decontam._hashes(t), np.uint64).sum(keepdims=True))[0] >> np.uint64(48)) for t in texts]
+    count = collections.Counter(kind)
+    weight = np.array([8192 / len(count) / count[k] for k in kind] + [16] * len(items))
+    start = np.random.default_rng(7).standard_normal((1 << 15, 128), np.float32)[used]
+    basis, _ = np.linalg.qr((a.T * weight) @ (a @ start))
+    want = (idf[used, None] * basis) @ (idf[used, None] * basis).T
+    both = used[searcher.row[used] >= 0]
+    v = searcher.v[searcher.row[both]]
+    at = np.searchsorted(used, both)
+    assert len(both) > 100 and np.abs(v @ v.T - want[np.ix_(at, at)]).max() < 0.01 * want.diagonal().max()
+
+
 def test_packing(spark, docs, rows, none):
     import public_tokenizers
     from tokenizers import Tokenizer
