@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import arrow_map, give_back, hash_words, mix, sized, table, utf8, words_of
+from loomwork.llm.common import arrow_map, give_back, hash_words, mix, parts_for, sized, table, utf8, words_of
 
 BLOCK = 24
 BITS, RANK = 15, 128
@@ -29,8 +29,8 @@ COMMON = 0.1
 #: In the fit the documents' blocks weigh as much as this many rows together, dealt evenly to 2**SHARES classes of their hash and there to
 #: every block (so copies of one block weigh no more than its class), and a benchmark piece as much as EXTRA rows.
 WEIGHT, SHARES, EXTRA = 8192, 16, 16.0
-#: Tasks that sum the documents' rows at most (each sends 2**BITS x RANK numbers on), and the slices of these sums.
-TASKS, SLICES = 128, 64
+#: Tasks that sum the documents' rows at most and megabytes of files for each (each sends 2**BITS x RANK numbers on), and the slices of these sums.
+TASKS, MB, SLICES = 128, 32, 64
 #: Pieces of benchmark items that are searched at a time, about; each further so many cost one more pass over the documents.
 PIECES = 16_384
 COSINE = 0.16
@@ -118,9 +118,14 @@ def _count(batches):
     yield pa.RecordBatch.from_pydict({"k": pa.array(here), "n": pa.array(all_[here])})
 
 
+def _few(docs: DataFrame) -> DataFrame:
+    """The texts in so many partitions as the input's size asks for, however many small ones it has."""
+    return docs.select("text").coalesce(min(TASKS, parts_for(docs, MB, "text")))
+
+
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Over the blocks of all docs (text): idf of each feature, 0 for those in more than COMMON of them, and the weight of a block of each class."""
-    rows = arrow_map(docs.select("text").coalesce(TASKS), _count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # 2**BITS + 2**SHARES + 1 rows at most
+    rows = arrow_map(_few(docs), _count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # 2**BITS + 2**SHARES + 1 rows at most
     counts = np.zeros((1 << BITS) + (1 << SHARES) + 1)
     counts[rows.column("k").to_numpy()] = rows.column("n").to_numpy()
     df, shares, n = counts[: 1 << BITS], counts[1 << BITS : -1], counts[-1]
@@ -204,7 +209,7 @@ def products(docs: DataFrame, idf_shared, weight: np.ndarray) -> np.ndarray:
     weights, shared = context.broadcast(weight), context.broadcast(q)
     z = np.zeros_like(q)
     del q
-    rows = arrow_map(docs.select("text").coalesce(TASKS), _gram(idf_shared, weights, shared), "slice int, sums binary")
+    rows = arrow_map(_few(docs), _gram(idf_shared, weights, shared), "slice int, sums binary")
     sums = rows.groupBy("slice").applyInArrow(_total, "slice int, sums binary").collect()
     slices = np.array_split(z, SLICES)
     for r in sums:

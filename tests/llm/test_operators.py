@@ -477,17 +477,17 @@ def test_decontam_of_a_large_benchmark(spark):
     assert got == {(k, k * 12) for k in range(200)} | {(k, k) for k in range(200, 260)}
 
 
-def test_latent_space_of_every_block(spark):
-    """The fit holds all blocks, more than 8192 of them, and copies of one block count no more than its class."""
+def many_blocks():
+    """(texts, items): more than 8192 texts of one block of 24 words, one of them very often, and three items."""
     r = np.random.default_rng(4)
     vocabulary = np.array([f"w{i}" for i in range(250)])
     share = 1 / np.arange(8, 258)
     texts = [" ".join(vocabulary[r.choice(250, 24, p=share / share.sum())]) for _ in range(14_000)]
-    texts += [texts[5]] * 600
-    items = [(k, " ".join(vocabulary[r.choice(250, 20)])) for k in range(3)]
-    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
-    searcher = next(decontam.searchers(df, spark.createDataFrame(items, "item_id long, text string")))
+    return texts + [texts[5]] * 600, [(k, " ".join(vocabulary[r.choice(250, 20)])) for k in range(3)]
 
+
+def far_from_whole_fit(searcher, texts, items):
+    """How far the searcher's space is from one fitted on all the texts by brute force, as a share of the largest product in it."""
     idf = searcher.idf
     of = [np.unique(decontam._feature(decontam._hashes(t))) for t in texts + [t for _, t in items]]
     used = np.unique(np.concatenate(of))
@@ -503,9 +503,18 @@ def test_latent_space_of_every_block(spark):
     basis, _ = np.linalg.qr((a.T * weight) @ (a @ start))
     want = (idf[used, None] * basis) @ (idf[used, None] * basis).T
     both = used[searcher.row[used] >= 0]
+    assert len(both) > 100
     v = searcher.v[searcher.row[both]]
     at = np.searchsorted(used, both)
-    assert len(both) > 100 and np.abs(v @ v.T - want[np.ix_(at, at)]).max() < 0.01 * want.diagonal().max()
+    return np.abs(v @ v.T - want[np.ix_(at, at)]).max() / want.diagonal().max()
+
+
+def test_latent_space_of_every_block(spark):
+    """The fit holds all blocks, and copies of one block count no more than its class."""
+    texts, items = many_blocks()
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    searcher = next(decontam.searchers(df, spark.createDataFrame(items, "item_id long, text string")))
+    assert far_from_whole_fit(searcher, texts, items) < 0.01
 
 
 def test_packing(spark, docs, rows, none):

@@ -9,7 +9,7 @@ import numpy as np
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from loomwork.llm import toxicity
+from loomwork.llm import decontam, toxicity
 
 SF = "/root/testdata/sf0.001"
 M64 = 2**64 - 1
@@ -149,6 +149,18 @@ def test_stages(spark):
     assert len(bins) <= max(math.ceil(total / 1024), sum(length > 512 for *_, length, _ in pieces)) + 2
 
 
+def test_decontam_fits_on_every_block(spark, monkeypatch, tmp_path):
+    from test_operators import far_from_whole_fit, many_blocks
+
+    texts, items = many_blocks()
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    made, plain = [], decontam.searchers
+    monkeypatch.setattr(decontam, "searchers", lambda *a: (made.append(s) or s for s in plain(*a)))
+    corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert len(made) == 1 and far_from_whole_fit(made[0], texts, items) < 0.01
+
+
 def test_odd_rows(spark):
     """Nulls, empty and repeated rows, a very long text, extra columns of inner names, and an empty table pass through every stage."""
     line = "the same long line of more than forty code points here"
