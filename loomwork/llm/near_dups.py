@@ -28,6 +28,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Rounds of election over all buckets; nodes and shingles (on average) of a block in the exact settlement of the rest.
 ROUNDS, BLOCK, GRAMS = 2, 500, 1_000_000
+#: Ids whose texts are needed fall on 2**MARKS marks; a text whose id falls on none is not sent on.
+MARKS = 24
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,12 +108,43 @@ def _signatures(bands: int, rows: int):
     return run
 
 
-def _sets(batches):
+def _places(ids: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return (mix(ids.cast(pa.int64()).to_numpy().view(np.uint64)) >> np.uint64(64 - MARKS)).astype(np.int64)
+
+
+def _mark(batches):
+    marked = np.zeros(1 << MARKS, bool)
     for batch in batches:
-        for part in sized(pa.Table.from_batches([batch]), "text"):
-            doc, grams, _ = weighted_shingles(*utf8(part.column("text")))
-            cuts = np.searchsorted(doc, np.arange(len(part) + 1))
-            yield pa.RecordBatch.from_pydict({"id": part.column("doc_id").combine_chunks().cast(pa.int64()), "grams": pa.array([grams[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+        marked[_places(batch.column("id"))] = True
+    bits = np.packbits(marked).view(np.int64)
+    here = np.flatnonzero(bits)
+    yield pa.RecordBatch.from_pydict({"k": pa.array(here, pa.int64()), "bits": pa.array(bits[here], pa.int64())})
+
+
+def marks(ids: DataFrame) -> np.ndarray:
+    """The marks of ids (id), as packed bits: 2**MARKS of them whatever the number of ids."""
+    rows = arrow_map(ids, _mark, "k long, bits long").groupBy("k").agg(F.bit_or("bits").alias("bits")).toArrow()  # 2**(MARKS - 6) rows at most
+    out = np.zeros(1 << MARKS - 6, np.int64)
+    out[rows.column("k").to_numpy()] = rows.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def _sets(marks_shared):
+    """Shingle sets of the rows whose id has a mark: all that are asked for, and few others."""
+
+    def run(batches):
+        marked = marks_shared.value
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows.filter(rows.column("doc_id").is_valid())
+            at = _places(rows.column("doc_id"))
+            rows = rows.filter(pa.array(marked[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1))
+            for part in sized(rows, "text"):
+                doc, grams, _ = weighted_shingles(*utf8(part.column("text")))
+                cuts = np.searchsorted(doc, np.arange(len(part) + 1))
+                yield pa.RecordBatch.from_pydict({"id": part.column("doc_id").combine_chunks().cast(pa.int64()), "grams": pa.array([grams[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+
+    return run
 
 
 def _compare(batches):
@@ -228,8 +261,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = stored(keyed.join(shared, "key"), "members")
     members = stored(members.select("id", "size", "key").join(members.groupBy("id").agg(F.sum("n").alias("degree")), "id"), "degrees")
 
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = stored(arrow_map(rows.join(wanted, "doc_id", "left_semi"), _sets, "id long, grams binary"), "sets")
+    # texts are found where they lie, by marks; sets of others whose ids share a mark are joined to nothing below
+    needed = rows.sparkSession.sparkContext.broadcast(marks(members.select("id").distinct()))
+    sets = stored(arrow_map(rows, _sets(needed), "id long, grams binary"), "sets")
+    needed.destroy()
     check = _Checker(sets)
     links = _union([r.filter(F.col("sim") >= SIMILAR).select("a", "b") for r in _elections(members, check)])
     classes = stored(components(links), "classes")

@@ -209,6 +209,20 @@ def test_near_copies_with_repeated_lines(spark):
     assert {x["doc_id"]: x["class_id"] for x in got} == want
 
 
+def test_texts_are_not_sent_on(spark):
+    """Texts are cut into shingles where they lie: no plan of near_classes shuffles the text column."""
+    r = random.Random(9)
+    rows = [(k, words_of(r, 60)) for k in range(40)] + [(None, words_of(r, 60))]
+    rows += [(100 + k, f"{t} more") for k, t in rows[:10]] + [(-(2**63), rows[3][1] + " end"), (2**63 - 1, rows[4][1] + " end")]
+    seen, plain = [], near_dups.stored
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(near_dups, "stored", lambda df, name: seen.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, name))
+        got = {x["doc_id"]: x["class_id"] for x in near_dups.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert not [p for p in seen if "text#" in p and "Exchange hashpartitioning(doc_id" in p]
+    least = -(2**63)
+    assert got == {None: None, 3: least, 103: least, least: least, 4: 4, 104: 4, 2**63 - 1: 4} | {k: k for k in range(40) if k not in (3, 4)} | {100 + k: k for k in range(10) if k not in (3, 4)}
+
+
 def test_prob_min_hash():
     """Components agree with the probability Jaccard of the weights."""
     e = np.arange(1, 31, dtype=np.uint64) * np.uint64(7919)
