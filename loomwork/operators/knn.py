@@ -1,42 +1,164 @@
-"""Exact nearest neighbours in blocks, and measures on vectors."""
+"""Exact nearest neighbours in groups, and measures on vectors."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.columns import cosine, dot
-
-#: Vectors in a block, on average; a task holds two blocks and one block's neighbours.
-BLOCK = 4096
+from loomwork.functions.storage import cut
+
+#: Vectors in a group, on average and at most; a task holds two groups, their neighbours so far and a tile of similarities.
+LEAST, MOST = 4096, 65536
+#: Groups that are made while they keep LEAST vectors, so that there is work for many tasks.
+GROUPS = 8
+#: Pairs that a task sets aside before it keeps the best of them.
+PENDING = 1_000_000
+
+
+class _Group:
+    """The vectors of one group, in an order that has nothing to do with their ids."""
+
+    def __init__(self, rows: pa.Table):
+        e = rows["embedding"].combine_chunks()
+        x = e.flatten().to_numpy(zero_copy_only=False)
+        if e.null_count or len(x) % len(e) or (np.diff(e.offsets.to_numpy()) != len(x) // len(e)).any():
+            raise ValueError("vectors must be known and of one length")
+        x = x.reshape(len(e), -1)
+        whole = np.flatnonzero(np.isfinite(x).all(axis=1))  # others are nobody's neighbours
+        some = np.random.default_rng(len(whole)).permutation(whole)
+        self.x, self.ids = x[some], rows["id"].to_numpy()[some]
+        self.year, self.batch = (rows[c].to_numpy()[some] for c in ("year", "batch"))
+        self.norm = np.sqrt((self.x.astype(np.float64) ** 2).sum(axis=1))
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
+class _Best:
+    """The k best of the vectors of `other` for each of own[at:end], and the least approximate similarity that may still be among them."""
+
+    def __init__(self, own: _Group, at: int, end: int, other: _Group, k: int, same: int, dtype: type):
+        error = (own.x.shape[1] + 8) * np.finfo(dtype).eps  # of an inner product, relative to the norms: twice its length times the unit roundoff
+        self.own, self.at, self.other, self.k, self.same = own, at, other, k, same
+        self.slack = 1e-6 + error * own.norm[at:end] * other.norm.max(initial=0.0)  # of the rounding to 6 digits, and of the arithmetic
+        self.floor = np.finfo(dtype).min
+        self.least = np.full(end - at, self.floor)
+        self.found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.new, self.pending = [], 0
+
+    def _raise(self, rows: np.ndarray, low: np.ndarray) -> None:
+        self.least[rows] = np.maximum(self.least[rows], np.nextafter(low.astype(self.least.dtype), self.floor))
+
+    def offer(self, sim: np.ndarray, own: int, other: int) -> None:
+        """sim: similarities of own rows from `own` on (its first axis) to others from `other` on; it may be a transposed view."""
+        n, m = sim.shape
+        rows = slice(own, own + n)
+        if (self.least[rows] == self.floor).any():  # the largest of some disjoint parts: as many are at least as similar
+            need = self.k + self.same
+            parts = m // max(1, min(16, m // (4 * need)))
+            if parts >= need:
+                width = m // parts
+                top = sim[:, : parts * width].reshape(n, width, parts).max(axis=1) if sim.flags.c_contiguous else sim.T[: parts * width].reshape(width, parts, n).max(axis=0).T
+                low = np.partition(top, parts - need, axis=1)[:, parts - need]
+                self._raise(np.arange(own, own + n), np.where(low > self.floor, low.astype(np.float64) - 2 * self.slack[rows], self.floor))
+        if sim.flags.c_contiguous:
+            r, c = np.divmod(_true(sim >= self.least[rows, None]), m)
+        else:
+            c, r = np.divmod(_true(sim.T >= self.least[None, rows]), n)
+        self.new.append((r + own, c + other))
+        self.pending += len(r)
+        if self.pending > PENDING:
+            self.settle()
+
+    def settle(self) -> None:
+        """Exact similarities of the pairs set aside, and the k best of each row with them."""
+        r, c = (np.concatenate([x[i] for x in self.new]) if self.new else np.zeros(0, np.int64) for i in (0, 1))
+        self.new, self.pending = [], 0
+        if self.same:
+            apart = self.own.ids[r + self.at] != self.other.ids[c]
+            r, c = r[apart], c[apart]
+        sim = np.zeros(len(r))
+        for i in range(0, len(r), 16384):
+            p, q = (g.x[x[i : i + 16384]].astype(np.float64) for g, x in ((self.own, r + self.at), (self.other, c)))
+            sim[i : i + 16384] = np.einsum("ij,ij->i", p, q)
+        r, c, sim = (np.concatenate(x) for x in zip(self.found, (r, c, np.round(sim, 6)), strict=True))
+        order = np.lexsort((self.other.ids[c], -sim, r))
+        r, c, sim = r[order], c[order], sim[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        last = place == self.k - 1
+        self._raise(r[last], sim[last] - self.slack[r[last]])
+        self.found = tuple(x[place < self.k] for x in (r, c, sim))
+
+    def rows(self) -> pa.RecordBatch:
+        self.settle()
+        r, c, sim = self.found
+        return pa.RecordBatch.from_arrays([pa.array(self.own.ids[r + self.at]), pa.array(self.other.ids[c]), pa.array(sim)], names=["src", "dst", "sim"])
+
+
+def _true(mask: np.ndarray) -> np.ndarray:
+    """Places of the true values, of which there are few."""
+    m = mask.ravel()
+    n = len(m) // 8 * 8
+    some = (np.flatnonzero(m[:n].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([some[m[some]], n + np.flatnonzero(m[n:])])
+
+
+def _before(a: _Group, i: slice, b: _Group, j: slice, window: int | None) -> np.ndarray:
+    """Whether b's vectors may be neighbours of a's: of an earlier year, or of an earlier batch of the year."""
+    y, x = a.year[i, None], b.year[None, j]
+    ok = (x < y) | (x == y) & (b.batch[None, j] < a.batch[i, None])
+    return ok if window is None else ok & (y - x <= window)
 
 
 def _search(k: int, past: bool, window: int | None):
-    def run(key, queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(base):
-            return pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64), "sim": np.zeros(0)})
-        q, b = np.stack(queries["embedding"]).astype(np.float64), np.stack(base["embedding"]).astype(np.float64)
-        ids = base["id"].to_numpy()
-        order = np.argsort(ids)
-        b, ids, by, bb = b[order], ids[order], base["year"].to_numpy()[order], base["batch"].to_numpy()[order]
-        out = []
-        for at in range(0, len(q), 512):
-            sim = np.round(q[at : at + 512] @ b.T, 6)
-            sim[queries["id"].to_numpy()[at : at + 512, None] == ids[None, :]] = -np.inf
-            if past:
-                y, t = queries["year"].to_numpy()[at : at + 512, None], queries["batch"].to_numpy()[at : at + 512, None]
-                ok = (by[None] < y) | (by[None] == y) & (bb[None] < t)
-                if window is not None:
-                    ok &= y - by[None] <= window
-                sim[~ok] = -np.inf
-            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-            val = np.take_along_axis(sim, top, axis=1)
-            r, c = np.nonzero(np.isfinite(val))
-            out.append((queries["id"].to_numpy()[at + r], ids[top[r, c]], val[r, c]))
-        src, dst, sim = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pd.DataFrame({"src": src, "dst": dst, "sim": sim})
+    """The neighbours of two groups in each other, or of one group in itself, from rows (id, embedding, year, batch, own, mate)."""
+
+    def pair(a: _Group, b: _Group, same: int) -> Iterator[pa.RecordBatch]:
+        dtype = np.float64 if max(a.norm.max(), b.norm.max()) > 1e15 else np.float32  # products must not overflow
+        p, q = a.x.astype(dtype, copy=False), b.x.astype(dtype, copy=False)
+        tall, broad = max(512, 4 * (k + same)), max(2048, 4 * (k + same))
+        tile = np.empty(min(tall, len(a)) * min(broad, len(b)), dtype)
+        sides = [] if same else [_Best(b, 0, len(b), a, k, 0, dtype)]
+        for t, at in enumerate(range(0, len(a), tall)):
+            i = slice(at, min(at + tall, len(a)))
+            best = _Best(a, i.start, i.stop, b, k, same, dtype)
+            for u, c in enumerate(range(0, len(b), broad)):
+                j = slice(c, min(c + broad, len(b)))
+                there, back = (_before(a, i, b, j, window), None if same else _before(b, j, a, i, window).T) if past else (None, None)
+                if past and not there.any() and (same or not back.any()):
+                    continue
+                n, m = len(p[i]), len(q[j])
+                sim = np.matmul(p[i], q[j].T, out=tile[: n * m].reshape(n, m))
+                best.offer(sim if there is None else np.where(there, sim, -np.inf), 0, c)
+                if u & (u + 1) == 0:
+                    best.settle()
+                for side in sides:
+                    side.offer((sim if back is None else np.where(back, sim, -np.inf)).T, c, at)
+            if t & (t + 1) == 0:
+                for side in sides:
+                    side.settle()
+            yield best.rows()
+        for side in sides:
+            yield side.rows()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        rows = pa.Table.from_batches(batches) if batches else None
+        if not rows:
+            return
+        own = rows["own"].to_numpy()
+        groups = [_Group(rows.filter(pa.array(own == g))) for g in np.unique(own)]
+        if (own == rows["mate"].to_numpy()).all():
+            groups, same = groups * 2, int(np.unique(groups[0].ids, return_counts=True)[1].max(initial=0))
+        else:
+            same = 0
+        if len(groups) == 2 and all(map(len, groups)):
+            yield from pair(*groups, same)
 
     return run
 
@@ -44,18 +166,21 @@ def _search(k: int, past: bool, window: int | None):
 def neighbors(vectors: DataFrame, k: int, past: bool = False, window: int | None = None) -> DataFrame:
     """(src, dst, sim, rank): the k vectors of largest inner product (rounded to 6 digits; ties by id) for each of vectors (id, embedding
     [, year, batch]). With past, only those of an earlier year, or of an earlier batch of the year, count. Every pair of
-    blocks is one task's work and returns k rows for each query at most, so no list of all pairs exists."""
+    groups is one task's work, in tiles, and returns k rows for each vector at most, so no list of all pairs exists; a vector is sent once for
+    each group. Single precision only tells which pairs can't be among the k; all others are computed in double. The result is written
+    once (spark.checkpoint.dir), however often it is used."""
     for c in ("year", "batch"):
         if c not in vectors.columns:
             vectors = vectors.withColumn(c, F.lit(0))
-    blocks = max(1, -(-vectors.count() // BLOCK))
-    v = vectors.select("id", "embedding", "year", "batch", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    queries = v.withColumn("o", other).withColumnsRenamed({"own": "qb", "o": "bb"})
-    base = v.withColumn("o", other).withColumnsRenamed({"own": "bb", "o": "qb"})
-    found = queries.groupBy("qb", "bb").cogroup(base.groupBy("qb", "bb")).applyInPandas(_search(k, past, window), "src long, dst long, sim double")
+    n = vectors.count()
+    groups = max(1, -(-n // MOST), min(GROUPS, -(-n // LEAST)))
+    v = vectors.select("id", "embedding", "year", "batch", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("own"))
+    v = v.withColumn("mate", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    high, low = F.greatest("own", "mate"), F.least("own", "mate")
+    dealt = v.repartitionById(groups * (groups + 1) // 2, (high * (high + 1) / 2 + low).cast("int"))
+    found = dealt.mapInArrow(_search(k, past, window), "src long, dst long, sim double")
     w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return cut(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
 
 
 def knn_edges(vectors: DataFrame, k: int, tau: float | None = None, mutual: bool = False) -> DataFrame:
