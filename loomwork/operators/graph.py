@@ -93,20 +93,19 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFrame:
-    """PageRank over undirected edges, a fixed number of rounds; isolated nodes spread their rank evenly."""
+    """PageRank over undirected edges, a fixed number of rounds; isolated nodes spread their rank evenly. A round reads the one before three
+    times, so each is written."""
     e = both_ways(edges).select("u", "v")
     deg = e.groupBy("u").agg(F.count("*").alias("d"))
     e = cut(e.join(deg, "u"))
     n = nodes.count()
     ids = nodes.select("id").join(deg.withColumnRenamed("u", "id"), "id", "left")
-    rank = ids.withColumn("r", F.lit(1.0 / max(1, n)))
-    for k in range(rounds):
+    rank = cut(ids.withColumn("r", F.lit(1.0 / max(1, n))))
+    for _ in range(rounds):
         loose = rank.agg(F.coalesce(F.sum(F.when(F.col("d").isNull(), F.col("r"))), F.lit(0.0)).alias("loose"))
         got = e.join(rank.select(F.col("id").alias("u"), "r"), "u").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("r") / F.col("d")).alias("got"))
         new = rank.select("id", "d").join(got, "id", "left").crossJoin(F.broadcast(loose))
-        rank = new.select("id", "d", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("r"))
-        if k % 3 == 2:
-            rank = cut(rank)
+        rank = cut(new.select("id", "d", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("r")))
     return rank.select("id", F.col("r").alias("pagerank"))
 
 
