@@ -21,7 +21,7 @@ PENDING = 1_000_000
 
 
 class _Group:
-    """The vectors of one group, in an order that has nothing to do with their ids."""
+    """The vectors of one group that differ (or their year or batch), in an order that has nothing to do with their ids, and the ids of each."""
 
     def __init__(self, rows: pa.Table):
         e = rows["embedding"].combine_chunks()
@@ -30,21 +30,36 @@ class _Group:
             raise ValueError("vectors must be known and of one length")
         x = x.reshape(len(e), -1)
         whole = np.flatnonzero(np.isfinite(x).all(axis=1))  # others are nobody's neighbours
-        some = np.random.default_rng(len(whole)).permutation(whole)
-        self.x, self.ids = x[some], rows["id"].to_numpy()[some]
-        self.year, self.batch = (rows[c].to_numpy()[some] for c in ("year", "batch"))
+        x, ids = x[whole], rows["id"].to_numpy()[whole]
+        when = np.stack([rows[c].to_numpy()[whole].astype(np.float64) for c in ("year", "batch")], axis=1)
+        said = np.concatenate([x.view(np.uint8), when.view(np.uint8)], axis=1)
+        _, first, kind = np.unique(said.view(f"V{said.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        some = np.random.default_rng(len(first)).permutation(len(first))
+        self.x, (self.year, self.batch) = x[first[some]], when[first[some]].T
         self.norm = np.sqrt((self.x.astype(np.float64) ** 2).sum(axis=1))
+        kind = np.argsort(some)[kind]
+        self.ids = ids[np.lexsort((ids, kind))]
+        self.count = np.bincount(kind, minlength=len(first))
+        self.start = np.cumsum(self.count) - self.count
+        self.least = self.ids[self.start]
 
     def __len__(self) -> int:
-        return len(self.ids)
+        return len(self.start)
+
+    def members(self, at: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The least ids of each vector (all without most), and the place in `at` that each belongs to."""
+        count = self.count[at] if most is None else np.minimum(self.count[at], most)
+        place = np.repeat(np.arange(len(at)), count)
+        return self.ids[self.start[at][place] + np.arange(len(place)) - (np.cumsum(count) - count)[place]], place
 
 
 class _Best:
-    """The k best of the vectors of `other` for each of own[at:end], and the least approximate similarity that may still be among them."""
+    """The k best of the vectors of `other` for each of own[at:end], ties by their least ids, and the least approximate similarity that may
+    still be among them. The k best ids are all among theirs. With `same`, a row's own id counts among k, up to `same` times."""
 
     def __init__(self, own: _Group, at: int, end: int, other: _Group, k: int, same: int, dtype: type):
         error = (own.x.shape[1] + 8) * np.finfo(dtype).eps  # of an inner product, relative to the norms: twice its length times the unit roundoff
-        self.own, self.at, self.other, self.k, self.same = own, at, other, k, same
+        self.own, self.at, self.other, self.k, self.same = own, at, other, k + same, same
         self.slack = 1e-6 + error * own.norm[at:end] * other.norm.max(initial=0.0)  # of the rounding to 6 digits, and of the arithmetic
         self.floor = np.finfo(dtype).min
         self.least = np.full(end - at, self.floor)
@@ -59,12 +74,11 @@ class _Best:
         n, m = sim.shape
         rows = slice(own, own + n)
         if (self.least[rows] == self.floor).any():  # the largest of some disjoint parts: as many are at least as similar
-            need = self.k + self.same
-            parts = m // max(1, min(16, m // (4 * need)))
-            if parts >= need:
+            parts = m // max(1, min(16, m // (4 * self.k)))
+            if parts >= self.k:
                 width = m // parts
                 top = sim[:, : parts * width].reshape(n, width, parts).max(axis=1) if sim.flags.c_contiguous else sim.T[: parts * width].reshape(width, parts, n).max(axis=0).T
-                low = np.partition(top, parts - need, axis=1)[:, parts - need]
+                low = np.partition(top, parts - self.k, axis=1)[:, parts - self.k]
                 self._raise(np.arange(own, own + n), np.where(low > self.floor, low.astype(np.float64) - 2 * self.slack[rows], self.floor))
         if sim.flags.c_contiguous:
             r, c = np.divmod(_true(sim >= self.least[rows, None]), m)
@@ -79,17 +93,12 @@ class _Best:
         """Exact similarities of the pairs set aside, and the k best of each row with them."""
         r, c = (np.concatenate([x[i] for x in self.new]) if self.new else np.zeros(0, np.int64) for i in (0, 1))
         self.new, self.pending = [], 0
-        if self.same:
-            apart = self.own.ids[r + self.at] != self.other.ids[c]
-            r, c = r[apart], c[apart]
         sim = np.zeros(len(r))
         for i in range(0, len(r), 16384):
             p, q = (g.x[x[i : i + 16384]].astype(np.float64) for g, x in ((self.own, r + self.at), (self.other, c)))
             sim[i : i + 16384] = np.einsum("ij,ij->i", p, q)
         r, c, sim = (np.concatenate(x) for x in zip(self.found, (r, c, np.round(sim, 6)), strict=True))
-        order = np.lexsort((self.other.ids[c], -sim, r))
-        r, c, sim = r[order], c[order], sim[order]
-        place = np.arange(len(r)) - np.searchsorted(r, r)
+        r, c, sim, place = _ranked(r, self.other.least[c], sim, c)
         last = place == self.k - 1
         self._raise(r[last], sim[last] - self.slack[r[last]])
         self.found = tuple(x[place < self.k] for x in (r, c, sim))
@@ -97,7 +106,21 @@ class _Best:
     def rows(self) -> pa.RecordBatch:
         self.settle()
         r, c, sim = self.found
-        return pa.RecordBatch.from_arrays([pa.array(self.own.ids[r + self.at]), pa.array(self.other.ids[c]), pa.array(sim)], names=["src", "dst", "sim"])
+        dst, at = self.other.members(c, self.k)
+        r, dst, sim, place = _ranked(r[at], dst, sim[at], dst)
+        r, dst, sim = (x[place < self.k] for x in (r, dst, sim))
+        src, at = self.own.members(r + self.at)
+        apart = src != dst[at] if self.same else np.ones(len(src), bool)
+        src, at = src[apart], at[apart]
+        src, dst, sim, place = _ranked(src, dst[at], sim[at], dst[at])
+        return pa.RecordBatch.from_arrays([pa.array(x[place < self.k - self.same]) for x in (src, dst, sim)], names=["src", "dst", "sim"])
+
+
+def _ranked(row: np.ndarray, tie: np.ndarray, sim: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, what, sim, place) by row, the largest similarity first; the place is that within the row, from 0."""
+    order = np.lexsort((tie, -sim, row))
+    row = row[order]
+    return row, what[order], sim[order], np.arange(len(row)) - np.searchsorted(row, row)
 
 
 def _true(mask: np.ndarray) -> np.ndarray:
@@ -121,7 +144,7 @@ def _search(k: int, past: bool, window: int | None):
     def pair(a: _Group, b: _Group, same: int) -> Iterator[pa.RecordBatch]:
         dtype = np.float64 if max(a.norm.max(), b.norm.max()) > 1e15 else np.float32  # products must not overflow
         p, q = a.x.astype(dtype, copy=False), b.x.astype(dtype, copy=False)
-        tall, broad = max(512, 4 * (k + same)), max(2048, 4 * (k + same))
+        tall, broad = (max(rows, 4 * (k + same)) for rows in (512, 2048))
         tile = np.empty(min(tall, len(a)) * min(broad, len(b)), dtype)
         sides = [] if same else [_Best(b, 0, len(b), a, k, 0, dtype)]
         for t, at in enumerate(range(0, len(a), tall)):
@@ -168,9 +191,9 @@ def neighbors(vectors: DataFrame, k: int, past: bool = False, window: int | None
     [, year, batch]). With past, only those of an earlier year, or of an earlier batch of the year, count. Every pair of
     groups is one task's work, in tiles, and returns k rows for each vector at most, so no list of all pairs exists; a vector is sent once for
     each group. Single precision only tells which pairs can't be among the k; all others are computed in double. The result is written
-    once (spark.checkpoint.dir), however often it is used."""
+    once (spark.checkpoint.dir), however often it is used. Equal vectors of a group are searched for once."""
     for c in ("year", "batch"):
-        if c not in vectors.columns:
+        if not past or c not in vectors.columns:
             vectors = vectors.withColumn(c, F.lit(0))
     n = vectors.count()
     groups = max(1, -(-n // MOST), min(GROUPS, -(-n // LEAST)))
